@@ -1,0 +1 @@
+"""Intentionally empty: every job of this library is a batch job over files, none is a stream."""
