@@ -54,8 +54,16 @@ def frequency_score(orders: Column | str) -> Column:
     return F.when(n >= 3, 5).when(n == 2, 3).otherwise(1).cast("bigint")
 
 
-def edge_score(c: Column | str, edges: Column, bins: int, reverse: bool = False) -> Column:
-    """1..bins by quantile edges (array of the inner edges), right-closed, ties together."""
-    above = F.size(F.filter(edges, lambda e: col(c).cast("double") > e))
-    score = F.lit(bins) - above if reverse else above + 1
+def edge_score(c: Column | str, edges: Sequence[Column], reverse: bool = False) -> Column:
+    """Score 1..len(edges)+1 by inner quantile edges: right-closed, equal values together."""
+    above = F.lit(0)
+    for edge in edges:
+        above = above + (col(c).cast("double") > edge).cast("int")
+    score = F.lit(len(edges) + 1) - above if reverse else above + 1
     return score.cast("bigint")
+
+
+def quadrant(premium: Column, high_volume: Column, labels: dict) -> Column:
+    """Label by the two halves of price and volume."""
+    return (F.when(premium & high_volume, labels[True, True]).when(premium, labels[True, False])
+            .when(high_volume, labels[False, True]).otherwise(labels[False, False]))

@@ -9,7 +9,7 @@ from martlet.config import Definitions
 from martlet.functions.numbers import ratio
 from martlet.operators import cleaning
 from martlet.operators.views import realised
-from martlet.sources.market import Market
+from martlet.sources.market import FIELDS, TABLE_NAMES, Market
 
 # Columns carried onto the facts.
 ITEM_ORDER_COLUMNS = ["order_id", "customer_id", "order_status", "is_delivered", "in_window",
@@ -84,16 +84,15 @@ def base_items(m: Market) -> DataFrame:
 
 def clean_market(raw: dict[str, DataFrame], defs: Definitions = Definitions()) -> Market:
     """All per-table cleaning jobs, lazily."""
-    return Market(
-        orders=cleaning.clean_orders(raw["orders"], defs),
-        items=cleaning.clean_items(raw["order_items"], defs),
-        customers=cleaning.clean_customers(raw["customers"]),
-        products=cleaning.clean_products(raw["products"], raw["category_translation"], defs),
-        sellers=cleaning.clean_sellers(raw["sellers"]),
-        payments=cleaning.clean_payments(raw["payments"], defs),
-        reviews=cleaning.clean_reviews(raw["reviews"]),
-        geolocation=cleaning.clean_geolocation(raw["geolocation"], defs),
-        defs=defs)
+    return Market({
+        "orders": cleaning.clean_orders(raw["orders"], defs),
+        "items": cleaning.clean_items(raw["order_items"], defs),
+        "customers": cleaning.clean_customers(raw["customers"]),
+        "products": cleaning.clean_products(raw["products"], raw["category_translation"], defs),
+        "sellers": cleaning.clean_sellers(raw["sellers"]),
+        "payments": cleaning.clean_payments(raw["payments"], defs),
+        "reviews": cleaning.clean_reviews(raw["reviews"]),
+        "geolocation": cleaning.clean_geolocation(raw["geolocation"], defs)}, defs)
 
 
 def run_pipeline(raw: dict[str, DataFrame], defs: Definitions = Definitions(),
@@ -108,9 +107,6 @@ def run_pipeline(raw: dict[str, DataFrame], defs: Definitions = Definitions(),
     spark = m.orders.sparkSession
     write_parquet_set(cleaned, out_dir)
     stored = read_parquet_set(spark, out_dir, cleaned)
-    again = Market(**{field: stored[f"{name}_clean"] for field, name in {
-        "orders": "orders", "items": "order_items", "customers": "customers", "products": "products",
-        "sellers": "sellers", "payments": "payments", "reviews": "reviews",
-        "geolocation": "geolocation"}.items()}, defs=defs)
+    again = Market({f: stored[f"{TABLE_NAMES.get(f, f)}_clean"] for f in FIELDS}, defs)
     write_parquet_set({"fct_order_items": order_items_fact(again), "fct_orders": orders_fact(again)}, out_dir)
     return read_parquet_set(spark, out_dir, [*cleaned, "fct_order_items", "fct_orders"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlet.functions.bands import price_band
+from martlet.functions.bands import price_band, quadrant
 from martlet.functions.numbers import big, dbl, mean, pct, ratio, rounded_pct, scalar, sum_where, total
 from martlet.functions.windows import everything
 from martlet.operators.views import analysis_items
@@ -74,11 +74,6 @@ QUERY_QUADRANTS = {
 }
 
 
-def quadrant(premium: Column, high_volume: Column, labels: dict) -> Column:
-    return (F.when(premium & high_volume, labels[True, True]).when(premium, labels[True, False])
-            .when(high_volume, labels[False, True]).otherwise(labels[False, False]))
-
-
 def category_price_and_volume_quadrant(m: Market, top: int = 25) -> DataFrame:
     """Categories against the median category price and volume."""
     cats = analysis_items(m).groupBy("category").agg(

@@ -8,6 +8,7 @@ SQL engine. They exercise operators and carry no business meaning.
 from __future__ import annotations
 
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,23 @@ SAMPLE_DEFINITIONS = Definitions(
 )
 
 
+# Declared schemas, so that building a plan reads no file footers.
+SAMPLE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SAMPLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,14 +190,16 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "category_translation": translation(spark, sf_dir)}
 
 
+@lru_cache(maxsize=4)
 def sample_market(spark: SparkSession, sf_dir: str) -> Market:
+    """The sample as a market; planned once per session and directory."""
     defs = SAMPLE_DEFINITIONS
-    return Market(
-        orders=cleaning.clean_orders(raw_orders(spark, sf_dir), defs),
-        items=cleaning.clean_items(raw_items(spark, sf_dir), defs),
-        customers=cleaning.clean_customers(raw_customers(spark, sf_dir)),
-        products=translated_products(spark, sf_dir),
-        sellers=cleaning.clean_sellers(raw_sellers(spark, sf_dir)),
-        payments=cleaning.clean_payments(raw_payments(spark, sf_dir), defs),
-        reviews=cleaning.clean_reviews(raw_reviews(spark, sf_dir)),
-        defs=defs)
+    return Market({
+        "orders": lambda: cleaning.clean_orders(raw_orders(spark, sf_dir), defs),
+        "items": lambda: cleaning.clean_items(raw_items(spark, sf_dir), defs),
+        "customers": lambda: cleaning.clean_customers(raw_customers(spark, sf_dir)),
+        "products": lambda: translated_products(spark, sf_dir),
+        "sellers": lambda: cleaning.clean_sellers(raw_sellers(spark, sf_dir)),
+        "payments": lambda: cleaning.clean_payments(raw_payments(spark, sf_dir), defs),
+        "reviews": lambda: cleaning.clean_reviews(raw_reviews(spark, sf_dir)),
+    }, defs)
