@@ -76,3 +76,13 @@ def cents(c: Column | str) -> Column:
 def scalar(df: DataFrame, *names: str) -> Column:
     """One-row frame as a struct-valued scalar subquery: runs once, joins nothing."""
     return df.select(F.struct(*names).alias("one")).scalar()
+
+
+def fetched(df: DataFrame, *names: str) -> dict[str, Column]:
+    """One-row frame of thresholds as literals.
+
+    Runs a job now and brings exactly one row of numbers to the driver. Used where a threshold
+    enters many expressions, which a scalar subquery would repeat in the plan.
+    """
+    row = df.select(*names).first()
+    return {n: F.lit(None if row is None else row[n]).cast("double") for n in names}

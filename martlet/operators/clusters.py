@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlet.functions.numbers import mean, scalar, total
+from martlet.functions.numbers import fetched, mean, total
 from martlet.functions.windows import everything, share_of_all
 
 # Clustering features, and which of them are taken as log(1 + x).
@@ -28,7 +28,7 @@ def feature_matrix(customers: DataFrame, features: Sequence[str] = FEATURES,
 def standardise(matrix: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Mean zero and *population* deviation one; a constant feature becomes zero."""
     names = [f"{s}_{c}" for c in features for s in ("m", "s")]
-    stats = scalar(matrix.agg(*[a for c in features for a in (
+    stats = fetched(matrix.agg(*[a for c in features for a in (
         F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]), *names)
     return matrix.select("customer_unique_id", *[
         F.coalesce(F.try_divide(F.col(c) - stats[f"m_{c}"], stats[f"s_{c}"]), F.lit(0.0)).alias(c) for c in features])

@@ -52,9 +52,9 @@ def retention_curve(orders: DataFrame, zero_fill: bool = False, last_month_index
     if last_month_index is None:
         raise ValueError("zero_fill needs the last observed month")
     cohorts = cohort_cells(orders).where(F.col("age") == 0).groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
-    old_enough = F.sequence(F.lit(1), F.greatest(F.lit(last_month_index) - F.col("cohort"), F.lit(1)))
+    old_enough = F.sequence(F.lit(1).cast("bigint"), (F.lit(last_month_index) - F.col("cohort")).cast("bigint"))
     spine = cohorts.where(F.col("cohort") < last_month_index).select(
-        month_from_index("cohort").alias("cohort_month"), F.explode(old_enough).cast("bigint").alias("age"))
+        month_from_index("cohort").alias("cohort_month"), F.explode(old_enough).alias("age"))
     filled = spine.join(cells.select("cohort_month", "age", pct("customers", "cohort_size").alias("p")),
                         ["cohort_month", "age"], "left")
     return filled.groupBy(F.col("age").alias("month")).agg(

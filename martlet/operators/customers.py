@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from martlet.config import Definitions
 from martlet.functions import calendar as cal
 from martlet.functions.bands import edge_score
-from martlet.functions.numbers import big, cents, mean, pct, ratio, scalar, share_true, total
+from martlet.functions.numbers import big, cents, fetched, mean, pct, ratio, scalar, share_true, total
 from martlet.functions.windows import everything, running, share_of_all
 from martlet.operators.ordered import exact_quantiles, running_before, share_curve
 
@@ -107,9 +107,9 @@ def gap_distribution(orders: DataFrame) -> DataFrame:
 
 
 def with_risk(features: DataFrame, orders: DataFrame, defs: Definitions = Definitions()) -> DataFrame:
-    """Lapsed flag and risk tier. Both thresholds are one-row scalar subqueries."""
-    lapse = scalar(lapse_threshold(orders, defs), "lapse_days")["lapse_days"]
-    top = scalar(exact_quantiles(features.select(cents("monetary").alias("c")), "c",
+    """Lapsed flag and risk tier, from two fetched thresholds."""
+    lapse = fetched(lapse_threshold(orders, defs), "lapse_days")["lapse_days"]
+    top = fetched(exact_quantiles(features.select(cents("monetary").alias("c")), "c",
                                  {"value": defs.high_value_quantile}), "value")["value"]
     # Tier names.
     tier = (F.when(F.col("recency") <= defs.active_days, f"1. Active (bought in last {defs.active_days}d)")
@@ -141,9 +141,9 @@ def risk_profile(customers: DataFrame) -> DataFrame:
 
 
 def value_edges(customers: DataFrame, bins: int) -> list[Column]:
-    """Inner quantile edges of spend, in cents, as fields of one scalar subquery."""
+    """Inner quantile edges of spend, in cents, as literals."""
     probs = {f"e{k}": k / bins for k in range(1, bins)}
-    edges = scalar(exact_quantiles(customers.select(cents("monetary").alias("c")), "c", probs), *probs)
+    edges = fetched(exact_quantiles(customers.select(cents("monetary").alias("c")), "c", probs), *probs)
     return [edges[name] for name in probs]
 
 

@@ -24,7 +24,7 @@ HOLT, HOLT_DAMPED, HOLT_WINTERS = "Holt (additive trend)", "Holt (damped trend)"
 
 def _steps(df: DataFrame, model: str, horizon: int, forecast: Column) -> DataFrame:
     """One row per step 1..horizon; ``forecast`` may use the column ``step``."""
-    stepped = df.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))).cast("bigint"))
+    stepped = df.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint"))))
     return stepped.select(SERIES, F.lit(model).alias("model"), "step", forecast.alias("forecast"))
 
 
@@ -42,7 +42,7 @@ def baselines(train: DataFrame, horizon: int) -> DataFrame:
     slope = F.coalesce(F.try_divide(F.col("last") - F.col("first"), (F.col("n") - 1).cast("double")), F.lit(0.0))
     kinds = [(NAIVE, F.col("last")), (MEAN, F.col("mean")), (MOVING, F.col("last3")),
              (DRIFT, F.col("last") + slope * F.col("step"))]
-    stepped = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))).cast("bigint"))
+    stepped = ends.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint"))))
     return stepped.select(SERIES, "step", F.inline(F.array(*[
         F.struct(F.lit(name).alias("model"), value.alias("forecast")) for name, value in kinds]))).select(
         SERIES, "model", "step", "forecast")
@@ -105,7 +105,7 @@ def arima_011(train: DataFrame, horizon: int, per_unit: int = 100, z: float = 1.
     best = best_smoothing(train, 1, 2 * per_unit - 1, per_unit)
     s2 = F.try_divide(F.col("sse"), (F.col("n") - 1).cast("double"))
     reach = z * F.sqrt(s2 * (1.0 + (F.col("step") - 1) * F.col("alpha") * F.col("alpha")))
-    stepped = best.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))).cast("bigint"))
+    stepped = best.withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint"))))
     return stepped.select(SERIES, F.lit(ARIMA_011).alias("model"), "step", F.col("level").alias("forecast"),
                           (F.col("level") - reach).alias("lower_95"), (F.col("level") + reach).alias("upper_95"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.bands import edge_score, frequency_score
-from martlet.functions.numbers import cents, mean, scalar, share_true, total
+from martlet.functions.numbers import cents, fetched, mean, share_true, total
 from martlet.functions.windows import everything, share_of_all
 from martlet.operators.customers import value_edges
 from martlet.operators.ordered import exact_quantiles
@@ -15,7 +15,7 @@ from martlet.operators.ordered import exact_quantiles
 def with_rfm_scores(customers: DataFrame, bins: int = 5) -> DataFrame:
     """R and M by quantile edges, F by rule, and the cell and sum of the three."""
     probs = {f"e{k}": k / bins for k in range(1, bins)}
-    recency = scalar(exact_quantiles(customers.select("recency"), "recency", probs), *probs)
+    recency = fetched(exact_quantiles(customers.select("recency"), "recency", probs), *probs)
     scored = customers.withColumns({
         "r_score": edge_score("recency", [recency[p] for p in probs], reverse=True),
         "f_score": frequency_score("frequency"),

@@ -17,8 +17,12 @@ LOW_VOLUME = "Low volume (<{} units)"
 
 
 def segmented_customers(orders: DataFrame, items: DataFrame, defs: Definitions) -> DataFrame:
-    """Features, risk tier, value decile, RFM scores and segment of every person."""
-    features = customers.customer_features(orders, items, defs)
+    """Features, risk tier, value decile, RFM scores and segment of every person.
+
+    The thresholds and edges read the features several times over, so the person-grain frame is
+    persisted (memory, then disk; rebuilt from lineage when an executor is lost).
+    """
+    features = customers.customer_features(orders, items, defs).persist()
     rated = customers.with_value_decile(customers.with_risk(features, orders, defs))
     return rfm.with_rfm_segment(rfm.with_rfm_scores(rated))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +35,12 @@ SOME_CUSTOMERS = filters.CustomerFilter(rfm=("Champions", "Loyal", "At Risk"))
 EVENT_DAY = date(1998, 11, 24)
 
 
+@lru_cache(maxsize=4)
 def _people(m: Market) -> DataFrame:
-    return customers.customer_features(fact_orders(m), fact_order_items(m), m.defs)
+    return customers.customer_features(fact_orders(m), fact_order_items(m), m.defs).persist()
 
 
+@lru_cache(maxsize=4)
 def _segmented(m: Market) -> DataFrame:
     return exports.segmented_customers(fact_orders(m), fact_order_items(m), m.defs)
 
@@ -46,10 +49,12 @@ def _dim(m: Market) -> DataFrame:
     return exports.dim_customers(_segmented(m))
 
 
+@lru_cache(maxsize=4)
 def _risky(m: Market) -> DataFrame:
     return customers.with_risk(_people(m), fact_orders(m), m.defs)
 
 
+@lru_cache(maxsize=4)
 def _scored(m: Market) -> DataFrame:
     return rfm.with_rfm_segment(rfm.with_rfm_scores(_people(m)))
 

@@ -1,7 +1,8 @@
 """Independent SQL statements of the registered queries, for checking results in another engine."""
 
+from sqlcheck.facts import S as FACTS
 from sqlcheck.pack import PACK
 
 
 def all_statements() -> dict[str, str]:
-    return {**PACK}
+    return {**PACK, **FACTS}
