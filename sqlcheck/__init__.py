@@ -1,8 +1,9 @@
 """Independent SQL statements of the registered queries, for checking results in another engine."""
 
 from sqlcheck.facts import S as FACTS
+from sqlcheck.items import S as ITEMS
 from sqlcheck.pack import PACK
 
 
 def all_statements() -> dict[str, str]:
-    return {**PACK, **FACTS}
+    return {**PACK, **FACTS, **ITEMS}

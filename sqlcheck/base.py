@@ -85,6 +85,13 @@ review AS (
   QUALIFY row_number() OVER (PARTITION BY oid ORDER BY answered DESC NULLS FIRST, created DESC NULLS FIRST, rid DESC) = 1)"""
 
 
+def even_share(amount: str, n: str) -> str:
+    """``amount / n`` to two digits, half to even, in whole cents."""
+    c = f"CAST({amount} * 100 AS BIGINT)"
+    return (f"(({c} // {n}) + CAST(2 * ({c} % {n}) > {n} OR (2 * ({c} % {n}) = {n} AND ({c} // {n}) % 2 = 1) AS BIGINT))"
+            " / CAST(100 AS DOUBLE)")
+
+
 def q(*ctes_then_select: str) -> str:
     """``q(F2, "x AS (...)", "SELECT ...")`` as one statement."""
     *ctes, select = ctes_then_select

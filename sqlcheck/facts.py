@@ -1,12 +1,12 @@
 """Facts, customers, cohorts and metrics."""
 
-from sqlcheck.base import F1, F2, FACT, q
+from sqlcheck.base import F1, F2, FACT, even_share, q
 
 S: dict[str, str] = {}
 
-BASE = FACT + """,
+BASE = FACT + f""",
 o AS (SELECT *, round_even(dd, 2) AS days, round_even(v_days, 2) AS versus,
-  CASE WHEN n_items > 0 THEN round_even(CAST(rev AS DOUBLE) / n_items, 2) END AS unit_price,
+  CASE WHEN n_items > 0 THEN {even_share('rev', 'n_items')} END AS unit_price,
   day > DATE '2001-07-23' AS cut FROM fo)"""
 
 FEAT = BASE + """,
@@ -349,10 +349,10 @@ S["cluster_feature_matrix"] = q(FEAT, """f AS (SELECT who, CAST(rec AS DOUBLE) A
 SELECT who AS customer_unique_id, """ + ", ".join(
     f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 5) AS {name}" for c, name in zip(
         "rfmac", ["recency", "frequency", "monetary", "aov", "n_categories"])) + " FROM f")
-DIM = RISK + """,
+DIM = RISK + f""",
 dim AS (
   SELECT who AS customer_unique_id, state AS customer_state, CAST(t0 AS DATE) AS first_order_date, CAST(t1 AS DATE) AS last_order_date,
-    rec AS recency_days, n AS frequency_orders, CAST(spend AS DECIMAL(18,2)) AS monetary_revenue, round_even(aov, 2) AS avg_order_value,
+    rec AS recency_days, n AS frequency_orders, CAST(spend AS DECIMAL(18,2)) AS monetary_revenue, {even_share('spend', 'n')} AS avg_order_value,
     items AS total_items, n_cat AS distinct_categories, n_sell AS distinct_sellers, ten AS tenure_days,
     round_even(score, 3) AS avg_review_score, late_n AS late_orders, rep AS is_repeat_customer, CAST(r_score AS BIGINT) AS r_score,
     CAST(f_score AS BIGINT) AS f_score, CAST(m_score AS BIGINT) AS m_score, cell AS rfm_cell, segment AS rfm_segment,
