@@ -41,6 +41,12 @@ def rounded_pct(num: Column | str, den: Column | str, digits: int = 2) -> Column
     return F.round(pct(num, den), digits)
 
 
+def cents_per(amount: Column | str, n: Column | str) -> Column:
+    """Money per unit to two digits, half to even, exact in decimals."""
+    exact = F.try_divide(col(amount).cast("decimal(24,6)"), col(n).cast("decimal(12,0)"))
+    return F.bround(exact, 2).cast("double")
+
+
 def growth_pct(now: Column | str, before: Column | str) -> Column:
     return F.try_divide(F.lit(100.0) * (dbl(now) - dbl(before)), dbl(before))
 

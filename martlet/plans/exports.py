@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from martlet.config import Definitions
 from martlet.functions import calendar as cal
-from martlet.functions.numbers import big, dbl, pct
+from martlet.functions.numbers import big, cents_per, dbl, pct
 from martlet.operators import cohorts, customers, forecasting, metrics, rfm, series
 from martlet.operators.clusters import with_clusters
 from martlet.plans.star import fact_order_items, fact_orders
@@ -35,7 +35,7 @@ def dim_customers(segmented: DataFrame) -> DataFrame:
         "customer_unique_id", F.col("state").alias("customer_state"), F.to_date("first_order").alias("first_order_date"),
         F.to_date("last_order").alias("last_order_date"), F.col("recency").alias("recency_days"),
         F.col("frequency").alias("frequency_orders"), F.col("monetary").alias("monetary_revenue"),
-        F.bround("aov", 2).alias("avg_order_value"), "total_items", F.col("n_categories").alias("distinct_categories"),
+        cents_per("monetary", "frequency").alias("avg_order_value"), "total_items", F.col("n_categories").alias("distinct_categories"),
         F.col("n_sellers").alias("distinct_sellers"), F.col("tenure").alias("tenure_days"),
         F.bround("avg_review", 3).alias("avg_review_score"), "late_orders", F.col("is_repeat").alias("is_repeat_customer"),
         "r_score", "f_score", "m_score", "rfm_cell", "rfm_segment", *clusters, "value_decile", "risk_tier")
@@ -64,7 +64,7 @@ def dim_product(items: DataFrame) -> DataFrame:
     ranked = metrics.ranked_by_revenue(metrics.product_performance(items), "product_id")
     return ranked.select(
         "product_id", "category", F.col("units_sold").alias("units"), "orders", dbl("revenue").alias("revenue"),
-        F.round("avg_selling_price", 2).alias("avg_item_price"), "min_price", "max_price", F.round("freight", 2).alias("freight"),
+        cents_per("revenue", "units_sold").alias("avg_item_price"), "min_price", "max_price", F.round("freight", 2).alias("freight"),
         "sellers", "revenue_rank", "cumulative_pct_of_revenue", (F.col("units_sold") == 1).alias("sold_once_only"))
 
 

@@ -128,7 +128,7 @@ ORDER_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
     "test_welch_payment_value": lambda o, m: _rounded(hypothesis.welch(
         o, F.col("revenue"), F.col("payment_type"), *m.defs.compared_payments), 4),
     "test_welch_by_state": lambda o, m: _rounded(hypothesis.welch(
-        o, F.col("revenue"), F.col("payment_type"), *m.defs.compared_payments, strata=["customer_state"]), 4),
+        o, F.col("revenue"), F.col("payment_type"), *m.defs.compared_payments, strata=["customer_state"]), 2),
     "test_welch_single_item": lambda o, m: _rounded(hypothesis.welch(
         o.where(F.col("items_in_order") == 1), F.col("revenue"), F.col("payment_type"), *m.defs.compared_payments), 4),
     "test_welch_log": lambda o, m: _rounded(hypothesis.welch_log(
@@ -156,7 +156,7 @@ ORDER_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
     "measure_median_by_state": lambda o, m: _rounded(measures.median_order_value(o, ["customer_state"])),
     "measure_revenue_mom": lambda o, m: _rounded(measures.revenue_mom(o)),
     "measures_retention": lambda o, m: _rounded(measures.page_dataset(
-        exports.fact_cohort_retention(o), ["months_since_first_purchase"], measures.retention_measures())),
+        exports.fact_cohort_retention(o), ["months_since_first_purchase"], measures.retention_measures()), 9),
     "measures_cohort": lambda o, m: _rounded(measures.page_dataset(
         exports.dim_cohort_summary(o, m.defs), ["cohort_month"], measures.cohort_measures())),
     "measures_forecast": lambda o, m: measures.page_dataset(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.calendar import is_truncated
-from martlet.functions.numbers import big
+from martlet.functions.numbers import big, cents_per
 from martlet.operators.facts import base_items, base_orders
 from martlet.sources.market import Market
 
@@ -19,7 +19,7 @@ def fact_orders(m: Market) -> DataFrame:
         big("order_hour").alias("order_hour"), F.col("order_revenue").alias("revenue"),
         F.col("order_freight").alias("freight"), big("n_items").alias("items_in_order"),
         big("n_distinct_products").alias("distinct_products"), big("n_sellers").alias("distinct_sellers"),
-        F.bround("avg_item_price", 2).alias("avg_item_price"), "is_multi_item", "payment_type",
+        cents_per("order_revenue", "n_items").alias("avg_item_price"), "is_multi_item", "payment_type",
         big("max_installments").alias("max_installments"), big("review_score").alias("review_score"),
         F.bround("delivery_days", 2).alias("delivery_days"), F.bround("estimated_days", 2).alias("estimated_days"),
         F.bround("delivery_vs_estimate_days", 2).alias("delivery_vs_estimate_days"), "is_late", "customer_state",
