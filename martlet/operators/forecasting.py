@@ -181,13 +181,10 @@ def holt_family(train: DataFrame, horizon: int, season: int = 0) -> DataFrame:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("period")["value"].to_numpy(dtype=float)
-        parts = []
-        for name, damped, m in wanted:
-            if len(y) > m + 3:
-                parts.append(pd.DataFrame({"model": name, "step": np.arange(1, horizon + 1), "forecast": holt_forecast(y, horizon, damped, m)}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"model": [], "step": [], "forecast": []})
-        out.insert(0, SERIES, rows[SERIES].iloc[0])
-        return out
+        rows_out = [(rows[SERIES].iloc[0], name, step, float(value))
+                    for name, damped, m in wanted if len(y) > m + 3
+                    for step, value in enumerate(holt_forecast(y, horizon, damped, m), start=1)]
+        return pd.DataFrame(rows_out, columns=[SERIES, "model", "step", "forecast"])
 
     key_type = train.schema[SERIES].dataType.simpleString()
     return train.select(SERIES, "period", "value").groupBy(SERIES).applyInPandas(
