@@ -156,7 +156,7 @@ ORDER_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
     "measure_median_by_state": lambda o, m: _rounded(measures.median_order_value(o, ["customer_state"])),
     "measure_revenue_mom": lambda o, m: _rounded(measures.revenue_mom(o)),
     "measures_retention": lambda o, m: _rounded(measures.page_dataset(
-        exports.fact_cohort_retention(o), ["months_since_first_purchase"], measures.retention_measures()), 9),
+        exports.fact_cohort_retention(o), ["months_since_first_purchase"], measures.retention_measures()), 12),
     "measures_cohort": lambda o, m: _rounded(measures.page_dataset(
         exports.dim_cohort_summary(o, m.defs), ["cohort_month"], measures.cohort_measures())),
     "measures_forecast": lambda o, m: measures.page_dataset(

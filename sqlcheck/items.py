@@ -147,8 +147,8 @@ u AS (SELECT month, r, p, lag(r) OVER (ORDER BY month) AS b FROM sp LEFT JOIN t
 SELECT month AS order_month, r AS "Revenue (Trend)", CASE WHEN NOT p THEN round((r - b) / b, 6) END AS "Revenue MoM %" FROM u WHERE r IS NOT NULL""")
 _RP = "rp AS (SELECT cohort_month, age, round(100.0 * customers / CAST(cohort_size AS DOUBLE), 4) AS p FROM cells JOIN size USING (co))"
 S["measures_retention"] = q(COH, _RP, """
-SELECT age AS months_since_first_purchase, round(avg(p) / 100, 9) AS "Avg Retention %",
-  round(avg(p) FILTER (age > 0) / 100, 9) AS "Retention % After Month 0" FROM rp GROUP BY age""")
+SELECT age AS months_since_first_purchase, round(avg(p) / 100, 12) AS "Avg Retention %",
+  round(avg(p) FILTER (age > 0) / 100, 12) AS "Retention % After Month 0" FROM rp GROUP BY age""")
 S["measures_cohort"] = q(COH, """
 SELECT cohort_month, CASE WHEN 2001 * 12 + 7 - co >= 3 THEN round(round(100.0 * count(DISTINCT who) FILTER (age BETWEEN 1 AND 3)
   / CAST(count(DISTINCT who) AS DOUBLE), 4) / 100, 6) END AS "3-Month Repeat Rate %" FROM lab GROUP BY cohort_month, co""")
