@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.llm import sql
+from martlet.llm.minhash import near_duplicates
 from martlet.llm.mixing import mix
 from martlet.llm.quality_rules import quality_rules
 
@@ -23,16 +24,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=2)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op5_source_mix": op5_source_mix,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
+    "op3_minhash_near_duplicates": sql.NEAR_DUPLICATES,
     "op5_source_mix": sql.SOURCE_MIX,
 }

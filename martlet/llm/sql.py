@@ -69,3 +69,31 @@ mixed AS (
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(taken, 0)::BIGINT AS taken
 FROM q LEFT JOIN mixed ON mixed.doc_id = q.doc_id AND mixed.tie = q.tie
 """
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sh AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+rare AS (  -- a pair of that similarity shares one of the first fifth (and one more) of a set's shingles in any one order of all shingles
+    SELECT doc_id, s, n FROM (
+        SELECT sh.doc_id, s, n, row_number() OVER (PARTITION BY sh.doc_id ORDER BY f, s) AS r
+        FROM sh JOIN sizes USING (doc_id) JOIN (SELECT s, count(*) AS f FROM sh GROUP BY s) USING (s)) WHERE r <= n - (n * 4 + 4) // 5 + 1),
+pairs AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id < b.doc_id
+    WHERE 80 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)),
+links AS (
+    SELECT a, b FROM (
+        SELECT a, b, na, nb, count(*) AS c FROM pairs JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.s = x.s GROUP BY ALL)
+    WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT DISTINCT a AS doc_id, a AS r FROM both_ways
+    UNION
+    SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r),
+low AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(r, d.doc_id) AS component_id, coalesce(r, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
