@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.llm import sql
 from martlet.llm.minhash import near_duplicates
 from martlet.llm.mixing import mix
-from martlet.llm.quality_rules import quality_rules
+from martlet.llm.quality_rules import quality_rules, words_of
+from martlet.llm.substrings import remove_repeats
+from martlet.llm.token_files import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,14 +35,28 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    words = F.array_join(words_of(F.coalesce("text", F.lit(""))), " ")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, manifest)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op5_source_mix": op5_source_mix,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
     "op3_minhash_near_duplicates": sql.NEAR_DUPLICATES,
     "op5_source_mix": sql.SOURCE_MIX,
+    "op9_substring_dedup": sql.SUBSTRINGS,
 }

@@ -97,3 +97,17 @@ low AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(r, d.doc_id) AS component_id, coalesce(r, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+SUBSTRINGS = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY key) AS n
+    FROM (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS key
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS q FROM windows WHERE n > 1),
+kept AS (
+    SELECT d.doc_id, count(g.q) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (g.q IS NULL) AS words
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) d LEFT JOIN gone g USING (doc_id, q) GROUP BY d.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
