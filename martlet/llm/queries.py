@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.llm import sql
+from martlet.llm.embeddings import near_vectors
 from martlet.llm.minhash import near_duplicates
 from martlet.llm.mixing import mix
 from martlet.llm.quality_rules import quality_rules, words_of
+from martlet.llm.sentencepieces import decode_pieces, encode_pieces
 from martlet.llm.substrings import remove_repeats
+from martlet.llm.token_counts import token_counts
 from martlet.llm.token_files import read_tokens, write_tokens
+from martlet.llm.warc import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +35,30 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=2)
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no time of capture; here each is captured a second after the page before it."""
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return archive(_read(spark, sf_dir, "pages"), captured_at=at)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_tokens", "n_differing", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     words = F.array_join(words_of(F.coalesce("text", F.lit(""))), " ")
@@ -49,7 +73,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+    "op4_warc_archives": op4_warc_archives,
     "op5_source_mix": op5_source_mix,
+    "op6_sentencepieces": op6_sentencepieces,
+    "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
@@ -57,6 +85,8 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
     "op3_minhash_near_duplicates": sql.NEAR_DUPLICATES,
+    "op4_warc_archives": sql.ARCHIVES,
     "op5_source_mix": sql.SOURCE_MIX,
+    "op7_embedding_near_duplicates": sql.NEAR_VECTORS,
     "op9_substring_dedup": sql.SUBSTRINGS,
 }

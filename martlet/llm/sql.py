@@ -111,3 +111,35 @@ kept AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+ARCHIVES = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first, count(*) AS n FROM p WHERE strlen(html) >= 100 GROUP BY digest),
+host AS (
+    SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h,
+           regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') AS rest FROM p)
+SELECT p.page_id, strlen(html)::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN n > 1 AND first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND first <> p.page_id THEN first END AS refers_to,
+       coalesce(array_to_string(list_reverse(string_split(h, '.')), ',') || ')' || rest, '') AS url_key,
+       strftime(make_timestamp((1700000000 + p.page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM p LEFT JOIN f ON f.digest = p.digest JOIN host ON host.page_id = p.page_id
+"""
+
+NEAR_VECTORS = r"""
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm
+    FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL)
+    WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reach AS (
+    SELECT DISTINCT a AS vec_id, a AS r FROM links
+    UNION
+    SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+low AS (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(r, e.vec_id) AS component_id, coalesce(r, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
+"""
