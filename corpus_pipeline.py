@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from martlet.llm.minhash import near_duplicates
+from martlet.llm.mixing import mix
 from martlet.llm.quality_rules import quality_rules
+from martlet.llm.sentencepieces import decode_pieces, encode_pieces
 from martlet.llm.shared import new_path
+from martlet.llm.substrings import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    raise NotImplementedError
+    """Documents that the rules on their own text and on their source keep."""
+    judged = quality_rules(docs.select("doc_id", "source", "text")).filter("kept").select("doc_id").distinct()
+    return docs.join(judged, "doc_id", "left_semi").select(COLUMNS)
 
 
-STAGES = [("quality_rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8): the one with the smallest id."""
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 35 words or more that occur elsewhere too; a text of which nothing is left goes."""
+    cut = remove_repeats(docs).filter("n_removed < n_words")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, so sources have their target sizes."""
+    taken = mix(docs.select("doc_id", "source", "text")).filter("passes > 0").groupBy("doc_id").agg(F.max("passes").alias("_passes"))
+    repeated = docs.join(taken, "doc_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), "_passes")))
+    return repeated.select(COLUMNS)
+
+
+def piece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document encoded and decoded again: doc_id, n_tokens, n_differing, ids_crc32 and the decoded text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decode_pieces(encode_pieces(docs, model), model)
+    return coded.select("doc_id", "n_tokens", "n_differing", "ids_crc32", "text")
+
+
+STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("sentencepieces", piece_codes)]
 
 #: SQL has no SentencePiece encoding; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from martlet.llm import sql
 from martlet.llm.embeddings import near_vectors
+from martlet.llm.html_text import extract_text
 from martlet.llm.minhash import near_duplicates
 from martlet.llm.mixing import mix
 from martlet.llm.quality_rules import quality_rules, words_of
@@ -31,6 +32,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages").select("page_id", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=2)
 
@@ -72,6 +77,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_text": op2_html_text,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_warc_archives": op4_warc_archives,
     "op5_source_mix": op5_source_mix,
