@@ -7,6 +7,8 @@ manifest has one row per part; a part's base is the sum of the ids of the parts
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -24,29 +26,83 @@ from martlet.llm.shared import new_path, table
 
 #: Bytes of ids in a part, about; words whose ids a Python worker remembers; texts encoded at a time.
 PART_BYTES, REMEMBERED, AT_ONCE = 32 << 20, 300_000, 256
+#: Signs that the pattern never joins to a letter or digit before them (the apostrophe may be).
+SIGNS = b".,;:!?*$#%&|<>()"
+#: A character that stands between words when many are encoded at once.
+DIVIDER = b"\x01"
+#: Fixed value: the pattern of tokenizers whose texts may be encoded by word.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NO_ID = -(2**63)
 
 
+def divided(word: bytes) -> tuple[bytes, ...]:
+    """A word as a core in lower case and the signs after it, where the tokenizer's pattern cuts between a letter or digit and signs.
+
+    Words that may hold a special token stay as they are.
+    """
+    if b"<|" in word:
+        return (word,)
+    low = word.lower()
+    core = low.rstrip(SIGNS)
+    if core and len(core) < len(low):
+        last = unicodedata.normalize("NFC", core[-4:].decode("utf-8", "ignore")[-1:].lower())[-1:]
+        if last.isalpha() or last and last in "0123456789":
+            return core, low[len(core):]
+    return (low,)
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never reach over ASCII white space, so words are encoded once and remembered."""
+    """Ids of texts by a tokenizer that lowers case and whose tokens never reach over ASCII white space.
+
+    Words are remembered, and so are their parts; only parts that are new to a worker are encoded. Other tokenizers
+    encode whole texts.
+    """
 
     def __init__(self, path: str, typecode: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.typecode, self.known = Tokenizer.from_file(path), typecode, {}
+        self.tokenizer, self.typecode, self.known, self.parts = Tokenizer.from_file(path), typecode, {}, {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [WORD_PATTERN]
+        divider = self.tokenizer.encode(DIVIDER.decode(), add_special_tokens=False).ids
+        self.divider = divider[0] if len(divider) == 1 else None
+
+    def _learn_each(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
+            self.parts[w] = array(self.typecode, e.ids).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Many words in one call, told apart by the id of a character that none of them has."""
+        for i in range(0, len(words), 1024):
+            part = words[i:i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + DIVIDER + b" ").join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=self.typecode)
+            ends = np.append(np.flatnonzero(ids == self.divider), len(ids)) * ids.itemsize
+            data = ids.tobytes()
+            starts = np.append(0, ends[:-1] + ids.itemsize)
+            for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
+                self.parts[w] = data[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, in the machine's (little-endian) order."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [array(self.typecode, e.ids).tobytes() for e in found]
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = {w for words in split for w in words}
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, array(self.typecode, e.ids).tobytes()) for w, e in zip(part, found))
+        pieces = {w: divided(w) for w in new}
+        unknown = {p for x in pieces.values() for p in x if p not in self.parts}
+        if len(self.parts) + len(unknown) > 3 * REMEMBERED:
+            self.parts.clear()
+            unknown = {p for x in pieces.values() for p in x}
+        self._learn_each([w for w in unknown if self.divider is None or DIVIDER in w])
+        self._learn([w for w in unknown if self.divider is not None and DIVIDER not in w])
+        self.known.update((w, b"".join([self.parts[p] for p in x])) for w, x in pieces.items())
         return [b"".join([self.known[w] for w in words]) for words in split]
 
 
