@@ -356,9 +356,10 @@ def seller_service_table(items: DataFrame, orders: DataFrame) -> DataFrame:
         F.sum("revenue").cast("decimal(18,2)").alias("revenue"), F.sum("items").alias("items_sold"),
         F.count(F.lit(1)).alias("orders_n"), _r(F.avg("delivery_days")).alias("avg_delivery_days"),
         _r(100.0 * share_true("is_late")).alias("late_rate_pct"), _r(F.avg("review_score")).alias("avg_review_score"))
-    breadth = items.groupBy("seller_id", "seller_state").agg(F.countDistinct("product_id").alias("products"))
+    breadth = items.groupBy(F.col("seller_id").alias("_id"), F.col("seller_state").alias("_state")).agg(F.countDistinct("product_id").alias("products"))
     whole = scalar(items.agg(F.sum("revenue").alias("revenue")), "revenue")["revenue"]
-    return sellers.join(breadth, ["seller_id", "seller_state"]).withColumns({
+    same = F.col("seller_id").eqNullSafe(F.col("_id")) & F.col("seller_state").eqNullSafe(F.col("_state"))
+    return sellers.join(breadth, same).drop("_id", "_state").withColumns({
         "avg_item_price": _r(ratio("revenue", "items_sold")), "pct_of_revenue": _r(pct("revenue", whole))})
 
 

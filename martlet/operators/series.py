@@ -153,16 +153,17 @@ def kpss(series: DataFrame, lags: int | None = None) -> DataFrame:
         "e": F.col("value") - F.avg("value").over(mean_over), "n": F.count("value").over(mean_over)})
     partial = resid.withColumn("s", F.sum("e").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     width = F.lit(lags) if lags is not None else F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(0.25)))
-    span = lags if lags is not None else 12
-    cols = {f"e{k}": F.lag("e", k).over(by_time()) for k in range(1, span + 1)}
-    s = partial.withColumns(cols).groupBy(SERIES).agg(
-        F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("e") * F.col("e")).alias("g0"),
-        *[F.sum(F.col("e") * F.col(f"e{k}")).alias(f"g{k}") for k in range(1, span + 1)])
-    wide = width.cast("double")
-    variance = F.col("g0")
-    for k in range(1, span + 1):
-        weight = F.when(F.lit(k) <= wide, 1.0 - F.lit(float(k)) / (wide + 1)).otherwise(0.0)
-        variance = variance + 2.0 * weight * F.coalesce(F.col(f"g{k}"), F.lit(0.0))
+    placed = partial.withColumns({"at": F.row_number().over(by_time()), "width": width.cast("int")})
+    s = placed.groupBy(SERIES).agg(
+        F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("e") * F.col("e")).alias("g0"))
+    later = placed.where("width > 0").select(
+        F.col(SERIES).alias("_id"), "e", "at", "width", F.explode(F.sequence(F.lit(1), "width")).alias("k"))
+    earlier = placed.select(F.col(SERIES).alias("_other"), F.col("e").alias("e_back"), F.col("at").alias("at_back"))
+    weight = 1.0 - F.col("k") / (F.col("width") + 1.0)
+    products = later.join(earlier, F.col("_id").eqNullSafe(F.col("_other")) & (F.col("at") - F.col("k") == F.col("at_back"))).groupBy("_id").agg(
+        F.sum(weight * F.col("e") * F.col("e_back")).alias("g"))
+    s = s.join(products, F.col(SERIES).eqNullSafe(F.col("_id")), "left")
+    variance = F.col("g0") + 2.0 * F.coalesce("g", F.lit(0.0))
     n = F.col("n").cast("double")
     stat = F.try_divide(F.col("ss") / (n * n), variance / n)
     return s.select(SERIES, "n", F.round(stat, 6).alias("kpss_statistic"), (stat < 0.463).alias("level_stationary"))

@@ -35,9 +35,9 @@ def _people(axis: tuple[str, ...], names: tuple[str, ...], order: Callable[[], l
     return lambda t, s, d: page_dataset(t["dim_customers_segmented"], axis, _pick(measures.customer_measures(), *names), s, order())
 
 
-def _table(name: str, columns: tuple[str, ...], order: Callable[[], list], limit: int) -> Dataset:
-    """A detail table. It shows its first rows in display order, like the page does."""
-    return lambda t, s, d: t[name].select(*columns).orderBy(*order()).limit(limit)
+def _table(name: str, columns: tuple[str, ...], order: Callable[[], list]) -> Dataset:
+    """A detail table in display order, with all its rows; a caller may page."""
+    return lambda t, s, d: t[name].select(*columns).orderBy(*order())
 
 
 # Pages, datasets and the measures they show.
@@ -67,22 +67,22 @@ PAGES: dict[str, dict[str, Dataset]] = {
             t["dim_category_performance"], ("category",), _pick(measures.category_measures(), "Category Units", "Category Avg Price")).join(
             page_dataset(t["fact_order_items"], ("category",), _pick(measures.item_measures(), "Item Revenue"), s), "category"),
         "best_products": _table("dim_product_performance", ("revenue_rank", "category", "units", "avg_item_price", "revenue",
-                                                            "cumulative_pct_of_revenue"), lambda: ["revenue_rank"], 100),
+                                                            "cumulative_pct_of_revenue"), lambda: ["revenue_rank"]),
     },
     "marketing": {
         "cards": _orders((), ("Total Revenue", "AOV (Mean)", "Late Rate %", "Avg Review Score"), list),
         "revenue_by_payment": _orders(("payment_type",), ("Total Revenue",), lambda: [F.desc("Total Revenue"), "payment_type"]),
         "value_by_instalments": _orders(("max_installments",), ("AOV (Credit Card)",), lambda: ["max_installments"]),
         "states": _table("dim_region_performance", ("customer_state", "orders", "aov", "avg_delivery_days", "late_rate_pct", "avg_review_score"),
-                         lambda: [F.desc("orders"), "customer_state"], 100),
+                         lambda: [F.desc("orders"), "customer_state"]),
         "sellers": _table("dim_seller_performance", ("seller_id", "seller_state", "orders_n", "revenue", "late_rate_pct", "avg_review_score"),
-                          lambda: [F.desc("revenue"), "seller_id"], 100),
+                          lambda: [F.desc("revenue"), "seller_id"]),
     },
     "forecast": {
         "cards": lambda t, s, d: measures.next_month(t["fact_revenue_forecast"]),
         "history_and_forecast": lambda t, s, d: page_dataset(
             t["fact_revenue_forecast"], ("period_label",), measures.forecast_measures(), None, ["period_label"]),
-        "models": _table("dim_forecast_model_comparison", ("model", "MAE", "RMSE", "MAPE_pct", "vs_naive_pct"), lambda: ["MAE", "model"], 100),
+        "models": _table("dim_forecast_model_comparison", ("model", "MAE", "RMSE", "MAPE_pct", "vs_naive_pct"), lambda: ["MAE", "model"]),
     },
 }
 

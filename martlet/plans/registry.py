@@ -116,7 +116,7 @@ ORDER_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
     "first_experience_by_lateness": lambda o, m: customers.first_experience_by_lateness(o),
     "first_experience_by_score": lambda o, m: customers.first_experience_by_score(o),
     "retention_matrix": lambda o, m: cohorts.retention_matrix(o),
-    "retention_pivot": lambda o, m: cohorts.retention_pivot(o, 12),
+    "retention_pivot": lambda o, m: cohorts.retention_pivot(o, 66),
     "retention_curve": lambda o, m: cohorts.retention_curve(o),
     "retention_curve_zero_filled": lambda o, m: cohorts.retention_curve(o, True, m.defs.last_month_index),
     "cohort_summary": lambda o, m: cohorts.cohort_summary(o, m.defs.last_month_index),
@@ -245,7 +245,7 @@ MARKET_REPORTS: dict[str, Job] = {
     "agreement_segment_decile": lambda m: rfm.agreement(
         customers.with_value_decile(_scored(m)), "rfm_segment", "value_decile"),
     "cluster_feature_matrix": lambda m: _rounded(clusters.standardise(clusters.feature_matrix(_people(m))), 5),
-    "cluster_k_scan": lambda m: clusters.scan_k(_points(m), range(2, 6)),
+    "cluster_k_scan": lambda m: clusters.scan_k(_points(m), range(2, 9)),
     "cluster_profile": lambda m: clusters.name_clusters(clusters.cluster_profile(_clustered(m))),
     "cluster_segment_crosstab": lambda m: rfm.crosstab(_clustered(m), "rfm_segment", "cluster_name"),
     "cluster_agreement": lambda m: rfm.agreement(_clustered(m), "rfm_segment", "cluster"),
@@ -275,7 +275,7 @@ MARKET_REPORTS: dict[str, Job] = {
     "series_trimmed": lambda m: series.trim_truncated_tail(_state_days(m)),
     "series_rolling_mean": lambda m: series.rolling_mean(_state_days(m)),
     "series_weekday_index": lambda m: series.weekday_index(_state_days(m)),
-    "series_autocorrelation": lambda m: _rounded(series.autocorrelation(series.differences(_state_days(m)), 14)),
+    "series_autocorrelation": lambda m: _rounded(series.autocorrelation(series.differences(_state_days(m)), 30)),
     "series_seasonality": lambda m: series.seasonality(_state_days(m)),
     "series_dickey_fuller": lambda m: series.dickey_fuller(series.regular(_state_months(m))),
     "series_kpss": lambda m: series.kpss(series.regular(_state_months(m))),

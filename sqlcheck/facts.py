@@ -244,7 +244,7 @@ _RET = """SELECT cohort_month, age, customers, cohort_size, round(100.0 * custom
 FROM cells JOIN size USING (co)"""
 S["retention_matrix"] = q(COH, _RET)
 S["retention_pivot"] = q(COH, f"r AS ({_RET})", "SELECT cohort_month, " + ", ".join(
-    f"max(retention_pct) FILTER (age = {k}) AS m{k}" for k in range(13)) + " FROM r GROUP BY cohort_month")
+    f"max(retention_pct) FILTER (age = {k}) AS m{k}" for k in range(67)) + " FROM r GROUP BY cohort_month")
 S["retention_curve"] = q(COH, """
 SELECT age AS month, round(avg(100.0 * customers / CAST(cohort_size AS DOUBLE)), 4) AS retention_pct, count(*) AS cohorts
 FROM cells JOIN size USING (co) WHERE age > 0 GROUP BY age""")

@@ -271,5 +271,5 @@ S["page_customers_segments"] = q(DIM, """SELECT rfm_segment, CAST(sum(monetary_r
 S["page_products_price_and_volume"] = q(F2, """SELECT category, count(*) AS "Category Units",
   round(round(CAST(sum(rev) AS DOUBLE) / count(*), 2), 4) AS "Category Avg Price", CAST(sum(rev) AS DOUBLE) AS "Item Revenue" FROM f2 GROUP BY category""")
 S["page_products_best"] = q(f"x AS ({S['export_dim_product']})", """SELECT revenue_rank, category, units, avg_item_price, revenue, cumulative_pct_of_revenue
-FROM x ORDER BY revenue_rank LIMIT 100""")
+FROM x ORDER BY revenue_rank""")
 S["page_marketing_payments"] = q(BASE, _FILTER, """SELECT kind AS payment_type, CAST(sum(rev) AS DOUBLE) AS "Total Revenue" FROM o2 GROUP BY kind""")

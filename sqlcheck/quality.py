@@ -177,7 +177,7 @@ _ACF = """df AS (SELECT state, row_number() OVER (PARTITION BY state ORDER BY da
 cx AS (SELECT state, i, x - avg(x) OVER (PARTITION BY state) AS c, count(x) OVER (PARTITION BY state) AS n FROM df WHERE x IS NOT NULL),
 acf AS (SELECT a.state, k.k AS lag, any_value(a.n) AS n, sum(a.c * b.c) / any_value(s.ss) AS r FROM cx a, range(1, 31) k(k), cx b,
   (SELECT state, sum(c * c) AS ss FROM cx GROUP BY state) s WHERE b.state = a.state AND b.i = a.i - k.k AND s.state = a.state GROUP BY a.state, k.k)"""
-S["series_autocorrelation"] = q(DAYS, _ACF, "SELECT state AS series_id, n, CAST(lag AS BIGINT) AS lag, round(r, 6) AS acf FROM acf WHERE lag <= 14 AND lag < n")
+S["series_autocorrelation"] = q(DAYS, _ACF, "SELECT state AS series_id, n, CAST(lag AS BIGINT) AS lag, round(r, 6) AS acf FROM acf WHERE lag <= 30 AND lag < n")
 S["series_seasonality"] = q(DAYS, _ACF, """t AS (SELECT state, max(n) + 1 AS observations, avg(r) FILTER (lag % 7 = 0 AND lag <= 28) AS a,
   avg(abs(r)) FILTER (lag % 7 <> 0) AS f FROM acf WHERE lag <= least(30, n - 2) AND n + 1 > 28 GROUP BY state)""", """
 SELECT state AS series_id, observations, round(a, 6) AS acf_at_period, round(f, 6) AS abs_acf_elsewhere,
@@ -188,7 +188,7 @@ t AS (SELECT state, n, b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS t FR
 SELECT state AS series_id, n, round(t, 6) AS df_statistic, t < -2.86 AS stationary FROM t""")
 S["series_kpss"] = q(MONTHS, """e AS (SELECT state, i, c, v - avg(v) OVER (PARTITION BY state) AS e FROM mr),
 s AS (SELECT *, sum(e) OVER (PARTITION BY state ORDER BY i) AS s, floor(4 * pow(c / 100.0, 0.25)) AS w FROM e),
-g AS (SELECT a.state, sum((1 - k.k / (a.w + 1)) * a.e * b.e) AS g FROM s a, s b, range(1, 13) k(k) WHERE a.state = b.state AND b.i = a.i - k.k AND k.k <= a.w GROUP BY a.state),
+g AS (SELECT a.state, sum((1 - k.k / (a.w + 1)) * a.e * b.e) AS g FROM s a, s b, (SELECT unnest(range(1, CAST((SELECT max(w) FROM s) AS BIGINT) + 1)) AS k) k WHERE a.state = b.state AND b.i = a.i - k.k AND k.k <= a.w GROUP BY a.state),
 t AS (SELECT s.state, any_value(c) AS n, sum(s.s * s.s) / (any_value(c) * any_value(c)) / ((sum(e * e) + 2 * any_value(g.g)) / any_value(c)) AS k FROM s JOIN g USING (state) GROUP BY s.state)""", """
 SELECT state AS series_id, n, round(k, 6) AS kpss_statistic, k < 0.463 AS level_stationary FROM t""")
 
