@@ -145,3 +145,18 @@ def test_kmeans_invariants(spark):
     vec = clusters.vectors(clusters.standardise(spark.createDataFrame(pts), ["x", "y"]), ["x", "y"])
     scan = clusters.scan_k(vec, [2, 3]).toPandas().set_index("k")
     assert scan.inertia[3] < scan.inertia[2] and scan.silhouette[3] > 0.9
+
+
+def test_kpss_uses_as_many_lags_as_the_length_asks_for(spark):
+    n = 12_500
+    values = [((i * 7919) % 101) / 10 + (i % 7) for i in range(n)]
+    days = spark.range(n).select(F.lit("a").alias("series_id"), F.expr("date_add(date'1980-01-01', cast(id as int))").alias("period"),
+                                 ((F.col("id") * 7919 % 101) / 10 + F.col("id") % 7).alias("value"))
+    e = [v - sum(values) / n for v in values]
+    width, run, total = int(4 * (n / 100) ** 0.25), 0.0, 0.0
+    for x in e:
+        run += x
+        total += run * run
+    variance = sum(x * x for x in e) + 2 * sum((1 - k / (width + 1)) * sum(a * b for a, b in zip(e[k:], e)) for k in range(1, width + 1))
+    assert width > 12
+    assert series.kpss(days).first()["kpss_statistic"] == pytest.approx(total / n**2 / (variance / n), abs=1e-5)
