@@ -68,12 +68,18 @@ def gamma_upper(s: float, x: float) -> float:
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    """Two-sided tail; from 100,000 degrees of freedom on by the normal tail at a corrected point, as gamma terms cancel there."""
+    if dof > 1e5:
+        w = math.sqrt((dof - 0.5) * math.log1p(t * t / dof))
+        return math.erfc((w + (w**3 + 3.0 * w) / (48.0 * (dof - 0.5) ** 2)) / math.sqrt(2.0))
     return beta_inc(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
 def t_quantile(p: float, dof: float) -> float:
     """Upper quantile for p > 0.5, by bisection on the tail."""
-    low, high = 0.0, 1e3
+    low, high = 0.0, 1.0
+    while high < 1e300 and 1.0 - t_two_sided(high, dof) / 2.0 < p:
+        low, high = high, 2.0 * high
     for _ in range(200):
         mid = (low + high) / 2.0
         if 1.0 - t_two_sided(mid, dof) / 2.0 < p:

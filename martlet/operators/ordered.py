@@ -133,17 +133,18 @@ def row_positions(df: DataFrame, value: str, key: str, out: str, descending: boo
     """1-based position of each row ordered by ``value`` then ``key`` (unique), never in one task.
 
     Rows are numbered only inside (value, key bucket) cells, offsets come from cell counts. Also
-    adds ``<out>_before`` (rows with an earlier value) and ``<out>_total``.
+    adds ``<out>_before`` (rows with an earlier value) and ``<out>_total``. NULL is the smallest
+    value and the smallest key, so such rows keep a position too.
     """
     base = df.withColumn("_bucket", order_preserving_bucket(df, key) if bucket is None else bucket)
     cells = base.groupBy(value, "_bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(value).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     values = running_before(cells.groupBy(value).agg(F.sum("n").alias("n")), value, ["n"], descending=descending)
-    offsets = cells.withColumn("_skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").join(
-        values.select(value, "n_before", "n_total"), value)
+    skipped = cells.withColumn("_skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    offsets = _null_safe(skipped, values.select(value, "n_before", "n_total"), [value])
     inside = Window.partitionBy(value, "_bucket").orderBy(key)
     numbered = base.withColumn("_row", F.row_number().over(inside))
-    return numbered.join(offsets, [value, "_bucket"]).select(
+    return _null_safe(numbered, offsets, [value, "_bucket"]).select(
         *df.columns,
         (F.col("n_before") + F.col("_skip") + F.col("_row")).cast("bigint").alias(out),
         F.col("n_before").alias(f"{out}_before"), F.col("n_total").alias(f"{out}_total"))

@@ -35,6 +35,15 @@ def test_row_positions_are_a_total_order(spark, amounts, descending):
     assert list(got["id"]) == list(want["id"])
 
 
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_row_positions_keep_rows_without_value_or_key(spark, key):
+    df = spark.createDataFrame([("1", 5), ("2", None), (None, 5), (None, None)], "id string, v long").withColumn("id", F.col("id").cast(key))
+    up = {(r.v, r.id and int(r.id)): r.at for r in ordered.row_positions(df, "v", "id", "at").collect()}
+    assert up == {(None, None): 1, (None, 2): 2, (5, None): 3, (5, 1): 4}
+    down = {(r.v, r.id and int(r.id)): (r.at, r.at_total) for r in ordered.row_positions(df, "v", "id", "at", True).collect()}
+    assert down == {(5, None): (1, 4), (5, 1): (2, 4), (None, None): (3, 4), (None, 2): (4, 4)}
+
+
 @pytest.mark.parametrize("tiles", [5, 10])
 def test_tile_slices_split_like_ntile(spark, amounts, tiles):
     df = spark.createDataFrame(amounts)

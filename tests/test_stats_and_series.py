@@ -160,3 +160,12 @@ def test_kpss_uses_as_many_lags_as_the_length_asks_for(spark):
     variance = sum(x * x for x in e) + 2 * sum((1 - k / (width + 1)) * sum(a * b for a, b in zip(e[k:], e)) for k in range(1, width + 1))
     assert width > 12
     assert series.kpss(days).first()["kpss_statistic"] == pytest.approx(total / n**2 / (variance / n), abs=1e-5)
+
+
+def test_t_tails_at_few_and_very_many_degrees_of_freedom():
+    from martlet.functions.tails import t_quantile, t_two_sided
+
+    assert t_quantile(1 - 0.0001 / 2, 1) == pytest.approx(6366.1976, rel=1e-6)  # cot(pi alpha / 2)
+    for t in (0.5, 1.96, 5.0):
+        assert t_two_sided(t, 1e5 + 1) == pytest.approx(t_two_sided(t, 1e5 - 1), rel=1e-6)
+    assert t_quantile(0.975, 1e12) == pytest.approx(1.959963984540054, rel=1e-10)
