@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from martlet.llm.shared import table
+
 #: Lengths of one window: the sums of longer blocks are added to it.
 BLOCK = 4096
 
@@ -63,5 +65,6 @@ def context_totals(lengths: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """`context_totals` of a table's texts; other columns are not read."""
-    return context_totals(token_lengths(docs, ranks, pattern, text))
+    """`context_totals` of a table's texts; other columns are not read. The histogram is written, so texts are encoded once."""
+    histogram = token_lengths(docs, ranks, pattern, text).groupBy("length").agg(F.sum("n").alias("n"))
+    return context_totals(table(histogram, "lengths"))
