@@ -361,8 +361,7 @@ RAW_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
         "order_items": t["order_items"], "payments": t["payments"], "reviews": t["reviews"]}),
     "quality_translation_coverage": lambda t: quality.translation_coverage(
         t["products"], t["category_translation"], t["order_items"]),
-    "quality_unused_translations": lambda t: quality.unused_translations(
-        t["products"].where(F.col("product_category_name") != "Brand#20"), t["category_translation"]),
+    "quality_unused_translations": lambda t: quality.unused_translations(t["products"], t["category_translation"]),
     "quality_zip_coverage": lambda t: quality.zip_coverage(t["sellers"], "seller_zip_code_prefix", t["geolocation"]),
     "quality_coordinates": lambda t: quality.coordinates(t["geolocation"]),
     "quality_score_shift": lambda t: quality.distribution_shift(
