@@ -27,11 +27,13 @@ Job = Callable[[Market], DataFrame]
 NAMED_QUERIES: dict[str, Job] = {**REVENUE_QUERIES, **CUSTOMER_QUERIES, **PRODUCT_QUERIES, **MARKETING_QUERIES}
 
 # Slicer values used by the filtered reports.
-SOME_ORDERS = filters.OrderFilter(years=(1997, 1998), states=("NATION_1", "NATION_2", "NATION_3"),
-                                  payments=("credit_card", "boleto"), date_from=date(1997, 3, 1), date_to=date(1998, 10, 31))
-SOME_ITEMS = filters.ItemFilter(quadrants=("Premium + high volume", "Budget + high volume"),
-                                seller_states=("NATION_1", "NATION_4", "NATION_7", "NATION_11"))
-SOME_CUSTOMERS = filters.CustomerFilter(rfm=("Champions", "Loyal", "At Risk"))
+SOME_ORDERS = filters.Slice(order_year=(1997, 1998), customer_state=("NATION_1", "NATION_2", "NATION_3"),
+                            payment_type=("credit_card", "boleto"), since=date(1997, 3, 1), until=date(1998, 10, 31))
+SOME_SELLERS = filters.Slice(order_year=(1997, 1998), payment_type=("credit_card",),
+                             seller_state=("NATION_1", "NATION_4", "NATION_7", "NATION_11"))
+HIGH_VOLUME = ("Premium + high volume", "Budget + high volume")
+SOME_CUSTOMERS = filters.Slice(rfm_segment=("Champions", "Loyal", "At Risk"))
+SOME_RISKS = ("3. Lapsed - HIGH value (priority win-back)",)
 EVENT_DAY = date(1998, 11, 24)
 
 
@@ -164,7 +166,7 @@ ORDER_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
     "measure_next_month": lambda o, m: measures.next_month(exports.fact_revenue_forecast(o)),
     "page_card_value_by_instalment": lambda o, m: _rounded(measures.page_dataset(
         o, ["max_installments"], {"AOV (Credit Card)": measures.order_measures(m.defs)["AOV (Credit Card)"]},
-        filters.order_predicate(SOME_ORDERS))),
+        SOME_ORDERS.predicate())),
 }
 
 ITEM_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
@@ -196,14 +198,17 @@ STAR_REPORTS: dict[str, Callable[[DataFrame, DataFrame, Market], DataFrame]] = {
     "late_sellers": lambda o, i, m: metrics.late_sellers(i, o, min_orders=20),
     "top_category_per_state": lambda o, i, m: metrics.top_category_per_state(i, m.defs.min_orders_per_state, o),
     "export_dim_seller": lambda o, i, m: exports.dim_seller(i, o),
-    "filtered_kpis": lambda o, i, m: metrics.kpis(filters.filter_orders(o, SOME_ORDERS)),
-    "filtered_product_summary": lambda o, i, m: metrics.product_summary(filters.filter_items(
-        items_with_payment(i, o), filters.OrderFilter(years=(1997, 1998), payments=("credit_card",)), SOME_ITEMS,
-        metrics.price_volume_quadrants(i, m.defs.min_units_per_category))),
+    "filtered_kpis": lambda o, i, m: metrics.kpis(SOME_ORDERS.of(o)),
+    "filtered_product_summary": lambda o, i, m: metrics.product_summary(filters.in_quadrants(
+        SOME_SELLERS.of(items_with_payment(i, o)), metrics.price_volume_quadrants(i, m.defs.min_units_per_category), HIGH_VOLUME)),
     "filter_domains": lambda o, i, m: (
         filters.filter_domain(o, "order_year").unionByName(filters.filter_domain(o, "customer_state"))
         .unionByName(filters.filter_domain(o, "payment_type")).unionByName(filters.filter_domain(i, "category"))
         .unionByName(filters.filter_domain(i, "seller_state"))),
+    "filter_requested_values": lambda o, i, m: (
+        filters.requested_values(o, "customer_state", ("NATION_1", "NATION_24", "nation_1", "ATLANTIS"))
+        .unionByName(filters.requested_values(o, "order_year", (1997, 1850)))
+        .unionByName(filters.requested_values(i, "seller_state", ("NATION_3", "")))),
     "filter_date_domain": lambda o, i, m: filters.date_domain(o),
     "star_revenue_by_calendar": lambda o, i, m: _rounded(exports.star_join(
         {"fact_orders": o, "dim_date": exports.dim_date(o, m.defs)}, "fact_orders").groupBy(
@@ -252,12 +257,15 @@ MARKET_REPORTS: dict[str, Job] = {
     "export_dim_customers": _dim,
     "customers_summary": lambda m: metrics.customers_summary(_dim(m)),
     "customer_segments": lambda m: metrics.customer_segments(_dim(m)),
-    "filtered_customers_summary": lambda m: metrics.customers_summary(filters.filter_customers(_dim(m), SOME_CUSTOMERS)),
+    "filtered_customers_summary": lambda m: metrics.customers_summary(SOME_CUSTOMERS.of(_dim(m))),
+    "filtered_customers_by_state": lambda m: metrics.customers_summary(
+        filters.Slice(customer_state=("NATION_2", "NATION_5")).of(_dim(m))),
+    "filtered_customers_by_risk": lambda m: metrics.customers_summary(filters.Slice(risk_tier=SOME_RISKS).of(_dim(m))),
     "metric_top_customers": lambda m: metrics.top_customers(_dim(m)),
     "filtered_retention_curve": lambda m: cohorts.retention_curve(metrics.orders_of(
-        fact_orders(m), filters.filter_customers(_dim(m), SOME_CUSTOMERS))),
+        fact_orders(m), SOME_CUSTOMERS.of(_dim(m)))),
     "filtered_cohort_summary": lambda m: cohorts.cohort_summary(metrics.orders_of(
-        fact_orders(m), filters.filter_customers(_dim(m), SOME_CUSTOMERS)), m.defs.last_month_index),
+        fact_orders(m), SOME_CUSTOMERS.of(_dim(m))), m.defs.last_month_index),
     "measures_customers": lambda m: _rounded(measures.page_dataset(_dim(m), ["risk_tier"], measures.customer_measures())),
     "measure_segment_revenue_share": lambda m: _rounded(measures.segment_revenue_share(
         _dim(m), "rfm_segment", F.col("risk_tier").startswith("3"))),
@@ -306,7 +314,7 @@ def _page(name: str, dataset: str, *wanted: str, sliced: Callable[[], Column] |
 
 
 def _slice() -> Column:
-    return filters.order_predicate(SOME_ORDERS)
+    return SOME_ORDERS.predicate()
 
 
 MARKET_REPORTS |= {

@@ -366,6 +366,8 @@ SELECT count(*) AS customers, count(*) FILTER (is_repeat_customer) AS repeat_cus
 S["customers_summary"] = q(DIM, _CS)
 _SEGS = " WHERE rfm_segment IN ('Champions', 'Loyal', 'At Risk')"
 S["filtered_customers_summary"] = q(DIM, _CS + _SEGS)
+S["filtered_customers_by_state"] = q(DIM, _CS + " WHERE customer_state IN ('NATION_2', 'NATION_5')")
+S["filtered_customers_by_risk"] = q(DIM, _CS + " WHERE risk_tier LIKE '3.%'")
 S["customer_segments"] = q(DIM, f"""
 SELECT rfm_segment AS segment, count(*) AS customers, {_money('sum(monetary_revenue)')} AS revenue,
   round(avg(recency_days), 4) AS avg_recency_days, round(avg(frequency_orders), 4) AS avg_orders,

@@ -121,6 +121,11 @@ S["filter_domains"] = q(BASE, "\nUNION ALL\n".join(
     f"""SELECT '{name}' AS filter, CAST({c} AS VARCHAR) AS value, CAST(sum(rev) AS DOUBLE) AS amount FROM {t} WHERE {c} IS NOT NULL GROUP BY 2"""
     for name, c, t in (("order_year", "yr", "o"), ("customer_state", "state", "o"), ("payment_type", "kind", "o"),
                        ("category", "category", "f2"), ("seller_state", "seller_state", "f2"))))
+_ASKED = (("customer_state", "state", "o", ("NATION_1", "NATION_24", "nation_1", "ATLANTIS")), ("order_year", "yr", "o", ("1997", "1850")),
+          ("seller_state", "seller_state", "f2", ("NATION_3", "")))
+S["filter_requested_values"] = q(BASE, "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS filter, '{v}' AS value, (SELECT count(*) FROM {t} WHERE CAST({c} AS VARCHAR) = '{v}') > 0 AS known"""
+    for name, c, t, values in _ASKED for v in values))
 S["filter_date_domain"] = q(BASE, "SELECT min(day) AS date_min, max(day) AS date_max FROM o")
 _DATE = """dd AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS d FROM o)"""
 S["export_dim_date"] = q(BASE, _DATE, """

@@ -35,8 +35,8 @@ def test_parts_sum_to_the_whole(spark, star):
     assert items.agg(F.sum("revenue").cast("double")).first()[0] == pytest.approx(whole["revenue"])
     states = metrics.revenue_by_state(orders).toPandas()
     assert states.revenue.sum() == pytest.approx(whole["revenue"]) and states.revenue_pct.sum() == pytest.approx(100, abs=0.01)
-    two = filters.filter_orders(orders, filters.OrderFilter(states=("NATION_1", "NATION_2")))
-    one = [metrics.kpis(filters.filter_orders(orders, filters.OrderFilter(states=(s,)))).first()["revenue"] for s in ("NATION_1", "NATION_2")]
+    two = filters.Slice(customer_state=("NATION_1", "NATION_2")).of(orders)
+    one = [metrics.kpis(filters.Slice(customer_state=(s,)).of(orders)).first()["revenue"] for s in ("NATION_1", "NATION_2")]
     assert metrics.kpis(two).first()["revenue"] == pytest.approx(sum(one))
 
 
@@ -50,13 +50,13 @@ def test_filters_reject_and_match_nothing(spark, star):
     with pytest.raises(ValueError, match="MARS"):
         filters.check_values(orders, "customer_state", ["NATION_1", "MARS"], "state")
     with pytest.raises(ValueError):
-        filters.OrderFilter(date_from=date(2000, 1, 2), date_to=date(2000, 1, 1))
+        filters.Slice(since=date(2000, 1, 2), until=date(2000, 1, 1))
     quadrants = metrics.price_volume_quadrants(items, 1)
     inside = quadrants.where(F.col("quadrant").startswith("Premium")).first()["category"]
-    none = filters.filter_items(items, i=filters.ItemFilter(categories=(inside,), quadrants=("Budget + low volume",)), quadrants=quadrants)
+    none = filters.in_quadrants(filters.Slice(category=(inside,)).of(items), quadrants, ("Budget + low volume",))
     assert none.count() == 0
     day = date(1998, 5, 4)
-    assert filters.filter_orders(orders, filters.OrderFilter(date_from=day, date_to=day)).where(F.col("order_date") != F.lit(day)).count() == 0
+    assert filters.Slice(since=day, until=day).of(orders).where(F.col("order_date") != F.lit(day)).count() == 0
 
 
 def test_retention_invariants(spark, star):
