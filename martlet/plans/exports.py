@@ -169,8 +169,10 @@ def star_join(tables: dict[str, DataFrame], fact: str) -> DataFrame:
 
 
 def check_relationships(tables: dict[str, DataFrame]) -> DataFrame:
-    """Fact rows without a dimension row, per relationship (NULL keys are no reference)."""
+    """Fact rows without a dimension row, per relationship (NULL keys are no reference); every table must be there."""
     from martlet.operators.quality import orphans
 
-    return orphans({f"{t}[{c}] -> {d}[{k}]": (tables[t], c, tables[d], k) for t, c, d, k in RELATIONSHIPS
-                    if t in tables and d in tables})
+    missing = sorted({name for t, _, d, _ in RELATIONSHIPS for name in (t, d)} - set(tables))
+    if missing:
+        raise ValueError(f"relationships need the tables {', '.join(missing)}")
+    return orphans({f"{t}[{c}] -> {d}[{k}]": (tables[t], c, tables[d], k) for t, c, d, k in RELATIONSHIPS})

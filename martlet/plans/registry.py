@@ -215,9 +215,11 @@ STAR_REPORTS: dict[str, Callable[[DataFrame, DataFrame, Market], DataFrame]] = {
         F.col("dim_date__year").alias("year"), F.col("dim_date__is_weekend").alias("is_weekend")).agg(
         *[c.alias(n) for n, c in measures.order_measures(m.defs).items() if n in ("Total Revenue", "Orders", "AOV (Mean)")])),
     "star_relationship_check": lambda o, i, m: exports.check_relationships({
-        "fact_orders": o, "fact_order_items": i, "dim_date": exports.dim_date(o, m.defs),
+        "fact_orders": o, "fact_order_items": i, "dim_date": exports.dim_date(o, m.defs), "dim_customers_segmented": _dim(m),
         "dim_region_performance": metrics.region_scorecard(o), "dim_payment_performance": metrics.payment_mix(o),
-        "dim_category_performance": exports.dim_category(i, m.defs)}),
+        "dim_product_performance": exports.dim_product(i), "dim_category_performance": exports.dim_category(i, m.defs),
+        "dim_seller_performance": exports.dim_seller(i, o), "fact_cohort_retention": exports.fact_cohort_retention(o),
+        "dim_cohort_summary": exports.dim_cohort_summary(o, m.defs)}),
 }
 
 MARKET_REPORTS: dict[str, Job] = {

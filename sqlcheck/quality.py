@@ -1,7 +1,7 @@
 """Cleaning, quality audits, series and forecasts."""
 
 from sqlcheck.base import FACT, ORD, PAY, REV, q
-from sqlcheck.facts import BASE
+from sqlcheck.facts import BASE, COH
 
 S: dict[str, str] = {}
 
@@ -297,8 +297,12 @@ S["quality_column_profile"] = q(ORD, REV, "\nUNION ALL\n".join(
     for t, s, cols in _PROFILE for c, x, d in cols))
 _PAIRS = [("fact_order_items[order_id] -> fact_orders[order_id]", "f2"), ("fact_order_items[category] -> dim_category_performance[category]", "f2"),
           ("fact_orders[order_date] -> dim_date[date]", "o"), ("fact_orders[customer_state] -> dim_region_performance[customer_state]", "o"),
-          ("fact_orders[payment_type] -> dim_payment_performance[payment_type]", "o WHERE kind IS NOT NULL")]
-S["star_relationship_check"] = q(BASE, "\nUNION ALL\n".join(
+          ("fact_orders[payment_type] -> dim_payment_performance[payment_type]", "o WHERE kind IS NOT NULL"),
+          ("fact_orders[customer_unique_id] -> dim_customers_segmented[customer_unique_id]", "o WHERE who IS NOT NULL"),
+          ("fact_order_items[product_id] -> dim_product_performance[product_id]", "f2 WHERE pid IS NOT NULL"),
+          ("fact_order_items[seller_id] -> dim_seller_performance[seller_id]", "f2 WHERE sid IS NOT NULL"),
+          ("fact_cohort_retention[cohort_month] -> dim_cohort_summary[cohort_month]", "cells")]
+S["star_relationship_check"] = q(COH, "\nUNION ALL\n".join(
     f"SELECT '{n}' AS foreign_key, CAST(0 AS BIGINT) AS orphans, count(*) AS rows_checked, CAST(0 AS DOUBLE) AS orphan_pct FROM {t}" for n, t in _PAIRS))
 _N_L, _N_O = "(SELECT count(*) FROM lineitem)", "(SELECT count(*) FROM orders)"
 _REVSUM, _PEOPLE = f"(SELECT CAST(sum({_PRICE}) AS VARCHAR) FROM lineitem)", "(SELECT count(DISTINCT c_custkey) FROM customer)"
