@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.functions.numbers import cents, scalar
-from martlet.functions.windows import share_of_all
+from martlet.functions.numbers import cents, pct, scalar
 from martlet.operators.ordered import exact_quantiles
 
 
@@ -59,6 +58,7 @@ def below_mean_share(df: DataFrame, amount: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value and their share."""
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "pct", F.round(share_of_all("n"), 4)).orderBy(F.desc("n"), column)
+    """Rows per value and their share; the total is a scalar, so a column of very many values needs no window."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    rows = scalar(counts.agg(F.sum("n").alias("rows")), "rows")["rows"]
+    return counts.withColumn("pct", F.round(pct("n", rows), 4)).orderBy(F.desc("n"), column)
