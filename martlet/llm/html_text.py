@@ -19,6 +19,8 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 NEVER = set("head script style template noscript title meta link datalist iframe noembed noframes object audio video canvas svg param source track".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCKS = SPACED | set("html body div section article aside header footer nav main address li dt dd tr caption thead tbody tfoot td th form figcaption details summary dialog center dir menu legend option search hgroup".split())
+#: What a head may hold; any other tag, and text, ends it.
+HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: What an opening tag closes first, and what hides elements further up from it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th", "caption", "colgroup"}, "td": {"td", "th", "caption"}, "th": {"td", "th", "caption"}}
 CLOSES |= {t: {"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"} for t in ("thead", "tbody", "tfoot")}
@@ -52,8 +54,18 @@ def tree(html: str) -> Node:
         if last:
             del stack[last:]
 
+    def leave_head(body: bool = False) -> None:
+        """Close an open head and what is open in it; a template stays open, and a noscript does until the <body> tag."""
+        for i, node in enumerate(stack):
+            if node.tag == "head":
+                if not any(n.tag == "template" or n.tag == "noscript" and not body for n in stack[i:]):
+                    del stack[i:]
+                return
+
     def say(text: str) -> None:
         if text:
+            if text.strip(" \t\n\f\r"):
+                leave_head()
             stack[-1].children.append(unescape(text) if "&" in text else text)
 
     while found := TOKEN.search(html, at):
@@ -72,12 +84,14 @@ def tree(html: str) -> Node:
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
             continue
-        if tag in ("html", "body"):
+        if tag == "body":
+            leave_head(True)
+        if tag in ("html", "body") or tag == "head" and any(n.tag == "head" for n in stack):
             continue
+        if tag not in HEAD:
+            leave_head()
         if tag in CLOSES:
             close(CLOSES[tag], LIMITS.get(tag, {"table"}))
-        elif tag in BLOCKS and stack[-1].tag == "head":
-            stack.pop()
         if tag in BLOCKS:
             close({"p"}, {"td", "th", "table", "li", "dd", "button", "caption"})
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):

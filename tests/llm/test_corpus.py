@@ -186,6 +186,17 @@ def test_html(spark):
     assert {(r.page_id, r.text) for r in extract_text(table).collect()} == {(1, "a"), (2, "")}
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<head><title>T</title><body>Hello <b>x</b>", "Hello x"), ("<head><title>T</title><body><span><p>a<p>b</span>", "a\n\nb"),
+    ("<html><head><meta charset=x><title>T</title>\n Hello", "Hello"), ("<head><span>a<p>b", "a\n\nb"), ("<head><li>a<li>b", "- a\n- b"),
+    ("<head><table><td>a</table>b", "a\nb"), ("<p>a<head><title>T</title>b", "ab"), ("<head><head><title>T</title>a", "a"),
+    ("<head><noscript><p>no</noscript><template><p>no</template><style>no</style><link>\n<body>a", "a"), ("<head><noscript><p>no<body>a", "a"),
+    ("<head><title>T</title></head><body>a", "a")])
+def test_html_head_left_open(html, text):
+    got = visible_text(html)
+    assert re.sub(r"\n+", "\n", got) == re.sub(r"\n+", "\n", text)
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline as p
 
