@@ -28,8 +28,10 @@ LIMITS = {"li": {"ul", "ol", "menu", "dir", "table", "td", "th"}, "dt": {"dl", "
 #: Elements nested deeper become siblings; a column is at most padded to so many characters.
 DEPTH, COLUMN = 200, 60
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.S)
+#: A quote opens a value directly after the equals sign of an attribute; elsewhere it is a character like others.
+NAME, VALUE = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+", r"[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"{0}[^\"]*+{1}(?:\"|\Z)|'{0}[^']*+{1}(?:'|\Z)|{0}[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+{1}|(?=>|\Z))"
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|" + NAME + "(?:" + VALUE.format("", "") + r")?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(f"({NAME})(?:{VALUE.format('(', ')')})?+")
 
 
 class Node:

@@ -197,6 +197,21 @@ def test_html_head_left_open(html, text):
     assert re.sub(r"\n+", "\n", got) == re.sub(r"\n+", "\n", text)
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<a href="x"">click</a> rest of page <b>x</b> more', "click rest of page x more"), ("<p title=it's>Hello <b>all</b> the rest", "Hello all the rest"),
+    ("<a href=x'>one</a> <a href=y'>two</a>", "one two"), ('<b ">x</b> y', "x y"), ('<b ="p>x</b> y', "x y"), ('<b a=b="c>x</b> y', "x y"), ("<b a = 'p>q' c>x</b> y", "x y"),
+    ("<b a= >x</b>", "x"), ("<b a='p>q", ""), ("<b a='p'b=\"q>\"c>x</b>", "x"), ("<b/a='>'/>x", "x"), ("<p title=it'hidden>x", "x"), ("<p title=a hidden>x", ""), ('<p title="a"hidden>x', ""),
+    ("a<!-->b<!-- c -->d", "abd"), ("a<!--->b<!-- c -->d", "abd"), ("a<!---->b<!-- c -->d", "abd"), ("a<!-- > -> c --!>b", "ab"), ("a<!-- c", "a")])
+def test_html_malformed_tags(html, text):
+    assert visible_text(html) == text
+
+
+def test_html_tags_take_linear_time():
+    long = 200_000
+    for html in ("<a " + "'" * long, "<a " + "=" * long, "<a" + " a=" * long, "<a " + "a " * long, "<!--" + "-" * long, '<a b="' * long):
+        assert visible_text(html + ">") == ""
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline as p
 
