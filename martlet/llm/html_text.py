@@ -25,6 +25,11 @@ HEAD = set("base basefont bgsound head link meta noframes noscript script style
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th", "caption", "colgroup"}, "td": {"td", "th", "caption"}, "th": {"td", "th", "caption"}}
 CLOSES |= {t: {"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"} for t in ("thead", "tbody", "tfoot")}
 LIMITS = {"li": {"ul", "ol", "menu", "dir", "table", "td", "th"}, "dt": {"dl", "table", "td", "th"}, "dd": {"dl", "table", "td", "th"}, "option": {"select", "datalist"}}
+#: Where a part of a table goes; a table, section or row takes these children, and others stand in front of the table.
+HOLDERS = {t: {"table"} for t in ("caption", "colgroup", "thead", "tbody", "tfoot")}
+HOLDERS |= {"col": {"table", "colgroup"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"table", "thead", "tbody", "tfoot", "tr"}}
+HOLDERS["th"] = HOLDERS["td"]
+TAKEN = {*HOLDERS, "form", "script", "style", "template"}
 #: Elements nested deeper become siblings; a column is at most padded to so many characters.
 DEPTH, COLUMN = 200, 60
 
@@ -56,6 +61,24 @@ def tree(html: str) -> Node:
         if last:
             del stack[last:]
 
+    def table_at() -> int:
+        """Where the table is whose cell, caption or template is not open; 0 without one."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ("td", "th", "caption", "template"):
+                return 0
+            if stack[i].tag == "table":
+                return i
+        return 0
+
+    def put(item: Node | str) -> None:
+        """Append to the open element, or in front of the table where that takes no such child."""
+        if stack[-1].tag in HOLDERS["td"] or stack[-1].tag == "colgroup":
+            taken = item.isspace() if isinstance(item, str) else item.tag in TAKEN
+            if not taken and (at := table_at()):
+                stack[at - 1].children.insert(-1, item)  # an open table is the last child
+                return
+        stack[-1].children.append(item)
+
     def leave_head(body: bool = False) -> None:
         """Close an open head and what is open in it; a template stays open, and a noscript does until the <body> tag."""
         for i, node in enumerate(stack):
@@ -68,7 +91,7 @@ def tree(html: str) -> Node:
         if text:
             if text.strip(" \t\n\f\r"):
                 leave_head()
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            put(unescape(text) if "&" in text else text)
 
     while found := TOKEN.search(html, at):
         say(html[at:found.start()])
@@ -82,9 +105,9 @@ def tree(html: str) -> Node:
                 if tag in ("table", "body", "html") or not any(n.tag == "table" for n in stack[close_from:]):
                     del stack[max(1, close_from):]
             elif tag == "p":
-                stack[-1].children.append(Node("p", {}))
+                put(Node("p", {}))
             elif tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                put(Node("br", {}))
             continue
         if tag == "body":
             leave_head(True)
@@ -93,22 +116,27 @@ def tree(html: str) -> Node:
         if tag not in HEAD:
             leave_head()
         if tag in CLOSES:
-            close(CLOSES[tag], LIMITS.get(tag, {"table"}))
+            close(CLOSES[tag], LIMITS.get(tag, {"table", "template"}))
         if tag in BLOCKS:
             close({"p"}, {"td", "th", "table", "li", "dd", "button", "caption"})
+        if tag == "table" and (at_table := table_at()):
+            del stack[at_table:]
+        if tag in HOLDERS and (at_table := table_at()):
+            del stack[max(i for i in range(at_table, len(stack)) if stack[i].tag in HOLDERS[tag]) + 1:]
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
             stack.append(row)
         attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(found[3])} if found[3] else {}
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        in_table = tag == "form" and table_at()
+        put(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             inner, at = html[at:stop.start() if stop else len(html)], stop.end() if stop else len(html)
             if tag in ("textarea", "title", "xmp"):
                 node.children.append(unescape(inner) if tag != "xmp" else inner)
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID and len(stack) < DEPTH and not in_table:
             stack.append(node)
     say(html[at:])
     return root

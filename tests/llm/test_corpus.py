@@ -206,6 +206,17 @@ def test_html_malformed_tags(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><form><td>Price<td>3</form></tr></table>", "Price  3"), ("<table><tr><a name=x><td>a<td>b</a></table>", "a  b"), ("<table><tbody><form><tr><td>a<td>b</form></table>", "a  b"),
+    ("<table><tbody><p>text<tr><td>a</table>b", "text\na\nb"), ("<table><tr>loose <b>text</b><td>a</table>", "loose text\na"), ("<table><thead>x</thead><tr><td>a</table>", "x\na"),
+    ("<table><colgroup><col><td>a</table>", "a"), ("<table><colgroup>x<tr><td>a</table>", "x\na"), ("<table><caption>c<tr><td>a<td>b</table>", "c\na  b"), ("<table><tr><caption>c<td>a</table>", "c\na"),
+    ("<table><tr><div><td>a</div><tr><i><th>b</table>c", "a\nb\nc"), ("<table><tr><td>a<table><tr>x<td>b</table>c<td>d</table>e", "ax  d\nb\nc\ne"), ("<table><tr><table><td>a</table><td>b</table>c", "a\nbc"),
+    ("<table><tr><textarea>x</textarea><script>no</script><td>a</table>", "x\na"), ("<table><tr><div hidden>no<td>a</table>", "a"), ("<table><tr><td>a<template><td>no</template>b</table>", "ab"),
+    ("<div>p<table>x<tr>y</p>z</table>q</div>r", "pxy\nz\n\nq\nr"), ("<div>" * 300 + "<table><tr><td>a<p>b</table>c", "a\nbc"), ("<div>" * 197 + "<table><tr><td>a<td>b</table>c", "ab\nc")])
+def test_html_table_strays(html, text):
+    assert re.sub(r"\n+", "\n", visible_text(html)) == re.sub(r"\n+", "\n", text)
+
+
 def test_html_tags_take_linear_time():
     long = 200_000
     for html in ("<a " + "'" * long, "<a " + "=" * long, "<a" + " a=" * long, "<a " + "a " * long, "<!--" + "-" * long, '<a b="' * long):
