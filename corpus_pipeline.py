@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.llm.minhash import near_duplicates
-from martlet.llm.mixing import mix
+from martlet.llm.mixing import mix, tie_of
 from martlet.llm.quality_rules import quality_rules
 from martlet.llm.sentencepieces import decode_pieces, encode_pieces
 from martlet.llm.shared import new_path
@@ -17,15 +17,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules on their own text and on their source keep."""
-    judged = quality_rules(docs.select("doc_id", "source", "text")).filter("kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi").select(COLUMNS)
+    """Documents that the rules on their own text and on their source keep.
+
+    Each row has its own verdict, whether it has an id, shares it or is repeated; the row passes through the operator.
+    """
+    judged = quality_rules(docs.select(*COLUMNS, F.col("text").alias("_text"))).filter("kept")
+    return judged.withColumnRenamed("_text", "text").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (shingles of five words, similarity 0.8): the one with the smallest id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8): the one with the smallest id.
+
+    A document is an id with a text, told from others by a 64-bit hash of both: texts that share an id, and texts without
+    one, are judged each. In a group a row without an id comes last, and equal ids are ordered by that hash. Of rows with
+    equal id and text one stays: the first by lang, source and n_chars, nulls first.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct().join(groups, "_key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first")).select("_first._key")
+    rows = keyed.join(first, "_key", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_row"))
+    return rows.select("doc_id", "text", "_row.*").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +47,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so sources have their target sizes."""
-    taken = mix(docs.select("doc_id", "source", "text")).filter("passes > 0").groupBy("doc_id").agg(F.max("passes").alias("_passes"))
-    repeated = docs.join(taken, "doc_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), "_passes")))
-    return repeated.select(COLUMNS)
+    """Each document as often as the mix takes it, so sources have their target sizes.
+
+    Rows without an id and rows that share one are taken each by their own count; equal rows together by the sum of theirs.
+    """
+    also = ("lang", "n_chars")
+    taken = mix(docs, also=also).filter("passes > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_tie").alias("_of")).agg(F.sum("passes").cast("int").alias("_passes"))
+    rows = docs.select(COLUMNS).distinct().withColumn("_tie", tie_of(F.col("text"), *map(F.col, also)))
+    same = (F.col("_tie") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    return rows.join(taken, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), "_passes"))).select(COLUMNS)
 
 
 def piece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

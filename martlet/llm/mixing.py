@@ -76,17 +76,23 @@ def last_taken(passes: DataFrame, budget: int) -> tuple | None:
     return inside.withColumn("_start", start).filter(F.col("_start") < budget - cut["_before"]).orderBy(*[F.desc(k) for k in key]).select(*key).first()
 
 
+def tie_of(text: Column, *more: Column) -> Column:
+    """What tells rows of one id apart: a hash of the text, and of the other columns if there are any."""
+    content = F.md5(F.coalesce(text, F.lit("")))
+    return F.md5(F.concat(content, *[F.coalesce(F.md5(c.cast("string")), F.lit("-")) for c in more])) if more else content
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, weights: tuple[int, ...] = WEIGHTS,
-        share: float = 1.0, max_passes: int = 3, slices: int = 1024) -> DataFrame:
+        share: float = 1.0, max_passes: int = 3, slices: int = 1024, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size (words), source_size, target, passes (how often the mix takes it), taken.
 
     Defined results: a null or empty text has size 0 and is never taken; a null source is one source, last in order; rows
-    that repeat an id are told apart by their text, and equal rows are both taken or both not, so the mix may pass its
+    that repeat an id are told apart by their text and the columns `also`, and equal rows are both taken or both not, so the mix may pass its
     budget by copies of its last document; an empty table gives an empty one. Reruns agree: the shuffle is a hash of the id.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(content)).cast("long").alias("size"),
-                             F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("_hash"), F.md5(content).alias("_tie")), "sizes")
+                             F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("_hash"), tie_of(F.col(text), *map(F.col, also)).alias("_tie")), "sizes")
     targets = table(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, max_passes=max_passes)
                     .withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumnRenamed("source", "_s"), "targets")
     rows = running_size(rows, slices).join(targets, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "weight")

@@ -234,3 +234,28 @@ def test_pipeline(spark, docs, rows, tmp_path):
         assert {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in kept.select("doc_id").collect()}
         kept = after
     assert p.run(spark, str(tmp_path)).count() == kept.count()
+
+
+def test_pipeline_rows_without_an_id_or_with_a_shared_one(spark):
+    import corpus_pipeline as p
+
+    good = [" ".join(f"g{k}x{i}" for i in range(60)) for k in range(8)]
+    near = good[6] + " more"
+    data = [(None, good[1]), (None, good[2]), (7, good[3]), (7, "short"), (7, good[4]), (8, good[5]), (8, good[5]), (None, good[5]), (None, "short"), (9, near), (9, good[6]), (6, good[7]), (5, good[7] + " more"), (None, good[7] + " end")]
+    table = spark.createDataFrame([(i, t, "en", "hot" if i else None, len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    as_rows = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    fine = p.quality(spark, table, "").cache()
+    assert as_rows(fine) == Counter(x for x in data if x[1] != "short")
+    single = as_rows(p.near_dedup(spark, fine, ""))
+    assert set(single.values()) == {1}
+    assert set(single) - {(9, near), (9, good[6])} == {(None, good[1]), (None, good[2]), (7, good[3]), (7, good[4]), (8, good[5]), (5, good[7] + " more")}
+    assert len(single) == 7
+    assert as_rows(p.near_dedup(spark, fine.repartition(7, "text"), "")) == single
+    langs = table.withColumn("lang", F.when(F.length("text") > 300, "de")).union(table)
+    for docs in (table, langs):
+        want = Counter()
+        for r in p.mix(docs, also=("lang", "n_chars")).collect():
+            want[r.doc_id, r.source] += r.passes
+        mixed = p.source_mix(spark, docs, "").collect()
+        assert Counter((r.doc_id, r.source) for r in mixed) == +want
+        assert {(r.doc_id, r.text) for r in mixed} <= set(data) and any(r.doc_id is None for r in mixed)
