@@ -359,7 +359,7 @@ RAW_REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "clean_reviews": lambda t: cleaning.clean_reviews(t["reviews"]),
     "clean_geolocation": lambda t: cleaning.clean_geolocation(t["geolocation"], sample.SAMPLE_DEFINITIONS),
     "quality_inventory": quality.inventory,
-    "quality_column_profile": lambda t: quality.column_profile({k: t[k] for k in ("orders", "products", "reviews")}),
+    "quality_column_profile": quality.column_profile,
     "quality_missing_values": quality.missing_values,
     "quality_duplicates": lambda t: quality.duplicates(t, GRAIN),
     "quality_review_conflicts": lambda t: quality.key_conflicts(t["reviews"], "order_id", "review_score"),

@@ -141,3 +141,13 @@ def test_star_join_keeps_fact_rows(spark, star):
 @pytest.mark.parametrize("name", ["monthly_revenue_and_growth", "customer_rfm_scores", "quality_orphans", "test_late_vs_score"])
 def test_registered_queries_run(spark, name):
     assert all_queries()[name](spark, SF).count() > 0
+
+
+def test_column_profile_covers_every_raw_table(spark):
+    tables = sample.raw_tables(spark, SF)
+    got = {(r.table, r.column): (r.non_null, r.n_unique) for r in all_queries()["quality_column_profile"](spark, SF).collect()}
+    assert set(got) == {(name, c) for name, df in tables.items() for c in df.columns} and len(tables) == 9
+    for name in ("payments", "geolocation", "category_translation"):
+        df = tables[name]
+        want = df.agg(*[F.struct(F.count(c), F.count_distinct(c)).alias(c) for c in df.columns]).first()
+        assert {c: got[name, c] for c in df.columns} == {c: tuple(want[c]) for c in df.columns}
