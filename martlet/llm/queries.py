@@ -19,6 +19,7 @@ from martlet.llm.substrings import remove_repeats
 from martlet.llm.token_counts import token_counts
 from martlet.llm.token_files import read_tokens, write_tokens
 from martlet.llm.warc import archive
+from martlet.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, manifest)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = whiten(_read(spark, sf_dir, "embeddings"), components=4, scale=256)
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "_of"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("_of.whitened").alias("whitened"), F.col("_of.explained").alias("explained"), "identity_error")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_text": op2_html_text,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 SQL: dict[str, str] = {
