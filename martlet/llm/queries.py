@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.llm import sql
+from martlet.llm.divergence import divergence
 from martlet.llm.embeddings import near_vectors
 from martlet.llm.html_text import extract_text
 from martlet.llm.minhash import near_duplicates
@@ -82,6 +83,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("_of.whitened").alias("whitened"), F.col("_of.explained").alias("explained"), "identity_error")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_read(spark, sf_dir, "documents"), least=30, top=50, prior=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_text": op2_html_text,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -103,4 +109,5 @@ SQL: dict[str, str] = {
     "op5_source_mix": sql.SOURCE_MIX,
     "op7_embedding_near_duplicates": sql.NEAR_VECTORS,
     "op9_substring_dedup": sql.SUBSTRINGS,
+    "op12_source_divergence": sql.DIVERGENCE,
 }

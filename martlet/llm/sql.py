@@ -143,3 +143,33 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(r, e.vec_id) AS component_id, coalesce(r, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
 """
+
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+kept AS (SELECT lang, t FROM (SELECT DISTINCT r, lang, t FROM words) GROUP BY lang, t HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(DISTINCT t) AS v FROM g LEFT JOIN kept USING (lang) GROUP BY g.lang),
+c AS (SELECT lang, source, t, count(*) AS c FROM words JOIN kept USING (lang, t) GROUP BY ALL),
+filled AS (SELECT lang, source, t, coalesce(c, 0) AS c FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, t)),
+p AS (
+    SELECT lang, source, t, c, 1 + (1000000000::HUGEINT * (c + 5)::HUGEINT) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p
+    FROM filled JOIN v USING (lang)),
+q AS (
+    SELECT lang, t, 1 + (1000000000::HUGEINT * (c + 5)::HUGEINT) // (sum(c) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+    FROM (SELECT lang, t, sum(c) AS c FROM filled GROUP BY lang, t) JOIN v USING (lang)),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f
+               FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t AND x.source <> y.source GROUP BY ALL) s
+        ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+every AS (
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', t, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, t)
+    FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM every WHERE part = 'pair' OR rank <= 50
+"""
