@@ -12,6 +12,7 @@ from martlet.llm import sql
 from martlet.llm.divergence import divergence
 from martlet.llm.embeddings import near_vectors
 from martlet.llm.html_text import extract_text
+from martlet.llm.licenses import scan_licenses
 from martlet.llm.minhash import near_duplicates
 from martlet.llm.mixing import mix
 from martlet.llm.quality_rules import quality_rules, words_of
@@ -87,6 +88,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_read(spark, sf_dir, "documents"), least=30, top=50, prior=5)
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_text": op2_html_text,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_source_divergence": op12_source_divergence,
+    "op13_license_scan": op13_license_scan,
 }
 
 SQL: dict[str, str] = {
