@@ -18,7 +18,8 @@ from martlet.functions import calendar as cal
 from martlet.functions.bands import quadrant, table_instalment_band
 from martlet.functions.numbers import big, cents, dbl, growth_pct, mean, pct, ratio, scalar, share_true, sum_where, total
 from martlet.functions.windows import everything, running, share_of_all
-from martlet.operators.ordered import exact_quantiles, histogram, row_positions, running_before, share_curve
+from martlet.operators.ordered import exact_quantiles, histogram, running_before, share_curve
+from martlet.operators.ranges import positions
 
 
 def _r(c: Column | str, digits: int = 4) -> Column:
@@ -221,16 +222,11 @@ def product_performance(items: DataFrame) -> DataFrame:
 def ranked_by_revenue(df: DataFrame, key: str) -> DataFrame:
     """Add ``revenue_rank`` and ``cumulative_pct_of_revenue`` to a large table with DECIMAL revenue.
 
-    Ranks come from ``row_positions``; the running amount is the amount before the row's value plus
-    the row's place among its equals.
+    Ranks and running amounts come from ranges of the order, so one price or one key prefix holds up no task.
     """
-    placed = row_positions(df.withColumn("_c", cents("revenue")), "_c", key, "revenue_rank", descending=True)
-    values = running_before(histogram(placed, "_c").withColumn("amount", F.col("n") * F.col("_c")), "_c", ["amount"],
-                            descending=True).select("_c", "amount_before", "amount_total")
-    among = F.col("revenue_rank") - F.col("revenue_rank_before")
-    return placed.join(values, "_c").withColumn(
-        "cumulative_pct_of_revenue", F.round(pct(F.col("amount_before") + among * F.col("_c"), "amount_total"), 3)
-    ).drop("_c", "amount_before", "amount_total", "revenue_rank_before", "revenue_rank_total")
+    placed = positions(df.withColumn("_c", cents("revenue")), "_c", key, "revenue_rank", True, {"amount": F.col("_c")})
+    return placed.withColumn("cumulative_pct_of_revenue", F.round(pct("amount", "amount_total"), 3)).drop(
+        "_c", "amount", "amount_total", "revenue_rank_before", "revenue_rank_total")
 
 
 def price_volume_quadrants(items: DataFrame, min_units: int) -> DataFrame:

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlet.operators.ranges import positions
+
 BLOCK_BITS = 20
 
 
@@ -118,36 +120,13 @@ def tile_slices(hist: DataFrame, value: str, tiles: int, descending: bool = Fals
     return spread.withColumn("in_tile", inside.cast("bigint"))
 
 
-def order_preserving_bucket(df: DataFrame, key: str) -> Column:
-    """Coarse bucket whose order agrees with the order of ``key``.
-
-    Dense integer keys fall into blocks of 2**BLOCK_BITS; text keys into their first four
-    characters, which spreads hexadecimal ids over 65,536 buckets.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    return F.substring(key, 1, 4) if kind == "string" else _block(F.col(key).cast("bigint"))
-
-
-def row_positions(df: DataFrame, value: str, key: str, out: str, descending: bool = False,
-                  bucket: Column | None = None) -> DataFrame:
+def row_positions(df: DataFrame, value: str, key: str, out: str, descending: bool = False, rows: int | None = None) -> DataFrame:
     """1-based position of each row ordered by ``value`` then ``key`` (unique), never in one task.
 
-    Rows are numbered only inside (value, key bucket) cells, offsets come from cell counts. Also
-    adds ``<out>_before`` (rows with an earlier value) and ``<out>_total``. NULL is the smallest
-    value and the smallest key, so such rows keep a position too.
+    Also adds ``<out>_before`` (rows with an earlier value) and ``<out>_total``. NULL is the smallest value and the smallest
+    key, so such rows keep a position too. See ``martlet.operators.ranges``.
     """
-    base = df.withColumn("_bucket", order_preserving_bucket(df, key) if bucket is None else bucket)
-    cells = base.groupBy(value, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(value).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    values = running_before(cells.groupBy(value).agg(F.sum("n").alias("n")), value, ["n"], descending=descending)
-    skipped = cells.withColumn("_skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    offsets = _null_safe(skipped, values.select(value, "n_before", "n_total"), [value])
-    inside = Window.partitionBy(value, "_bucket").orderBy(key)
-    numbered = base.withColumn("_row", F.row_number().over(inside))
-    return _null_safe(numbered, offsets, [value, "_bucket"]).select(
-        *df.columns,
-        (F.col("n_before") + F.col("_skip") + F.col("_row")).cast("bigint").alias(out),
-        F.col("n_before").alias(f"{out}_before"), F.col("n_total").alias(f"{out}_total"))
+    return positions(df, value, key, out, descending, rows=rows)
 
 
 def share_curve(df: DataFrame, value: str, at: Sequence[int] | None = None) -> DataFrame:

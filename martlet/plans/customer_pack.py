@@ -10,6 +10,7 @@ from martlet.functions.bands import frequency_score
 from martlet.functions.numbers import big, cents, dbl, pct, ratio, rounded_pct, scalar, total
 from martlet.functions.windows import everything
 from martlet.operators.ordered import histogram, ntile_at, row_positions, running_before, tile_slices
+from martlet.operators.ranges import positions_of
 from martlet.operators.views import analysis_orders, customer_value, order_revenue
 from martlet.sources.market import Market
 
@@ -118,13 +119,14 @@ def repurchase_gap_summary(m: Market) -> DataFrame:
         rounded_pct(within(90), events).alias("pct_within_90_days"))
 
 
-def ntile_rfm(m: Market) -> DataFrame:
-    """Equal-count R and M scores and the rule-based F score for every customer."""
-    people = customer_value(m).select(
+def _scored_people(m: Market) -> DataFrame:
+    return customer_value(m).select(
         "customer_unique_id", cal.dates_to(m.defs.recency_date, "last_purchase").alias("recency_days"),
         F.col("orders").alias("frequency"), dbl("spend").alias("monetary"), cents("spend").alias("spend_cents"))
-    by_recency = row_positions(people, "recency_days", "customer_unique_id", "r_at", descending=True)
-    placed = row_positions(by_recency, "spend_cents", "customer_unique_id", "m_at")
+
+
+def _rfm_of(placed: DataFrame) -> DataFrame:
+    """Scores of rows that know their places r_at and m_at among all."""
     r = ntile_at(F.col("r_at"), F.col("r_at_total"), 5)
     money = ntile_at(F.col("m_at"), F.col("m_at_total"), 5)
     scored = placed.select("customer_unique_id", "recency_days", "frequency", "monetary", r.alias("r_score"),
@@ -132,8 +134,27 @@ def ntile_rfm(m: Market) -> DataFrame:
     return scored.withColumn("rfm_cell", F.concat_ws("-", "r_score", "f_score", "m_score"))
 
 
+def ntile_rfm(m: Market) -> DataFrame:
+    """Equal-count R and M scores and the rule-based F score for every customer."""
+    people = _scored_people(m)
+    n = people.count()
+    by_recency = row_positions(people, "recency_days", "customer_unique_id", "r_at", descending=True, rows=n)
+    return _rfm_of(row_positions(by_recency, "spend_cents", "customer_unique_id", "m_at", rows=n))
+
+
 def customer_rfm_scores(m: Market, top: int = 20) -> DataFrame:
-    return ntile_rfm(m).orderBy(F.desc("monetary"), "customer_unique_id").limit(top)
+    """Scores of the customers who spent most. The few rows come first; one pass then counts who stands before each."""
+    people = _scored_people(m)
+    few = people.orderBy(F.desc("monetary"), "customer_unique_id").limit(top).collect()
+    places = people.agg(
+        F.count(F.lit(1)).alias("n"), F.array(*positions_of(people, few, "recency_days", "customer_unique_id", True)).cast("array<bigint>").alias("r"),
+        F.array(*positions_of(people, few, "spend_cents", "customer_unique_id")).cast("array<bigint>").alias("m"))
+    rows = people.sparkSession.createDataFrame(few, people.schema)
+    numbered = rows.withColumn("at", F.row_number().over(everything().orderBy(F.desc("monetary"), "customer_unique_id")))
+    seen = scalar(places, "n", "r", "m")
+    placed = numbered.withColumns({"r_at": F.get(seen["r"], F.col("at") - 1), "m_at": F.get(seen["m"], F.col("at") - 1),
+                                   "r_at_total": seen["n"], "m_at_total": seen["n"]})
+    return _rfm_of(placed).orderBy(F.desc("monetary"), "customer_unique_id")
 
 
 def revenue_concentration_by_customer_decile(m: Market) -> DataFrame:

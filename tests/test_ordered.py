@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from martlet.operators import ordered
+from martlet.operators import ordered, ranges
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,48 @@ def test_string_keys_order(spark):
     df = spark.createDataFrame(rows, "id string, v bigint")
     got = [r.id for r in ordered.row_positions(df, "v", "id", "at").orderBy("at").collect()]
     assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+
+
+def _keyed(kind):
+    """(id, v): ids with a long common prefix, sparse 64-bit ids, or plain ones; one value, few, many, and NULLs."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    ids = {"prefix": [f"customer-00000000-{k:07d}" for k in rng.permutation(n)], "sparse": [int(k) * 3_000_000_000_000_007 - 2**62 for k in rng.permutation(n)],
+           "plain": [int(k) for k in rng.permutation(n)]}
+    return {"one": [(i, 7) for i in ids[kind]], "few": [(i, int(v)) for i, v in zip(ids[kind], rng.choice([5, 5, 5, 9, -2, 10**12], n))],
+            "nulls": [(None if k % 50 == 0 else i, None if k % 3 == 0 else int(v)) for k, (i, v) in enumerate(zip(ids[kind], rng.integers(0, 40, n)))]}
+
+
+@pytest.mark.parametrize("kind", ["prefix", "sparse", "plain"])
+@pytest.mark.parametrize("values", ["one", "few", "nulls"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_positions_by_ranges(spark, monkeypatch, kind, values, descending):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 300)
+    rows = [(*r, k) for k, r in enumerate(_keyed(kind)[values])]
+    df = spark.createDataFrame(rows, f"id {'string' if kind == 'prefix' else 'long'}, v long, c long").repartition(5)
+    got = ranges.positions(df, "v", "id", "at", descending, {"run": F.col("c")}).collect()
+    value = lambda r: ((r[1] is None, -(r[1] or 0)) if descending else (r[1] is not None, r[1] or 0))
+    want = sorted(rows, key=lambda r: (*value(r), r[0] is not None, r[0] or ("" if kind == "prefix" else 0)))
+    assert [r["at"] for r in sorted(got, key=lambda r: r["at"])] == list(range(1, len(rows) + 1))
+    placed = {r["at"]: r for r in got}
+    before = [value(r) for r in want]
+    firsts = {}
+    for i, v in enumerate(before):
+        firsts.setdefault(v, i)
+    total = sum(r[2] for r in rows)
+    for i, r in enumerate(want):
+        mine = placed[i + 1]
+        assert (mine["id"], mine["v"], mine["at_before"], mine["at_total"], mine["run_total"]) == (r[0], r[1], firsts[before[i]], len(rows), total)
+    assert np.cumsum([placed[i + 1]["c"] for i in range(len(rows))]).tolist() == [placed[i + 1]["run"] for i in range(len(rows))]
+    ordered_rows = df.withColumns(ranges.order_columns("v", "id", descending))
+    sizes = [r["n"] for r in ordered_rows.groupBy(ranges.range_of(ordered_rows, ranges.cut_points(ordered_rows, len(rows))).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * 300
+
+
+def test_positions_of_few_rows_and_none(spark):
+    df = spark.createDataFrame([(f"k{i % 7}", i % 5 if i % 4 else None) for i in range(60)], "id string, v long").distinct()
+    few = df.orderBy("id", "v").limit(9).collect()
+    for descending in (False, True):
+        all_at = {(r["id"], r["v"]): r["at"] for r in ranges.positions(df, "v", "id", "at", descending).collect()}
+        assert df.agg(F.array(*ranges.positions_of(df, few, "v", "id", descending)).alias("p")).first()["p"] == [all_at[r["id"], r["v"]] for r in few]
+    assert ranges.positions(df.limit(0), "v", "id", "at", sums={"s": F.col("v")}).count() == 0
