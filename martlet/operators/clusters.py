@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.numbers import fetched, mean, total
 from martlet.functions.windows import everything, share_of_all
+from martlet.operators import kmeans
+
+#: Starts that are tried for each number of clusters.
+SEEDS = (42, 43, 44, 45, 46, 47, 48, 49, 50, 51)
 
 # Clustering features, and which of them are taken as log(1 + x).
 FEATURES = ["recency", "frequency", "monetary", "aov", "n_categories"]
@@ -34,32 +36,41 @@ def standardise(matrix: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
         F.coalesce(F.try_divide(F.col(c) - stats[f"m_{c}"], stats[f"s_{c}"]), F.lit(0.0)).alias(c) for c in features])
 
 
-def vectors(scaled: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled).select(
-        "customer_unique_id", "features")
-
-
-def fit_kmeans(points: DataFrame, k: int, seed: int = 42) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=50, initSteps=5, featuresCol="features", predictionCol="cluster").fit(points)
+def points_of(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Standardised features of every customer, as points of ``martlet.operators.kmeans``."""
+    return kmeans.point_frame(standardise(feature_matrix(customers, features)), "customer_unique_id", features)
 
 
-def scan_k(points: DataFrame, ks: Sequence[int] = range(2, 9), seed: int = 42) -> DataFrame:
-    """Inertia and silhouette per k, over all points (squared Euclidean silhouette)."""
+@contextmanager
+def held(points: DataFrame) -> Iterator[DataFrame]:
+    """Points kept by the executors while fits pass over them, and released at the end."""
     points = points.persist()
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = []
-    for k in ks:
-        model = fit_kmeans(points, k, seed)
-        rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(points)))))
-    points.unpersist()
-    found = points.sparkSession.createDataFrame(rows, "k bigint, inertia double, silhouette double")
+    try:
+        yield points
+    finally:
+        points.unpersist()
+
+
+def scan_k(points: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Per k the best of several starts: inertia, silhouette (squared Euclidean, all points), and how it was reached."""
+    with held(points) as points:
+        best = kmeans.best_fits(kmeans.fit_many(points, ks, seeds))
+        scores = kmeans.silhouettes(points, best)
+    rows = [(f.k, f.inertia, s, len(seeds), f.seed, f.steps, f.converged) for f, s in zip(best, scores)]
+    found = points.sparkSession.createDataFrame(rows, "k bigint, inertia double, silhouette double, starts bigint, best_seed bigint, steps bigint, converged boolean")
     before = F.lag("inertia").over(everything().orderBy("k"))
     return found.withColumn("inertia_drop_pct", 100.0 * (before - F.col("inertia")) / before).orderBy("k")
 
 
-def assign(customers: DataFrame, points: DataFrame, model: KMeansModel) -> DataFrame:
-    labels = model.transform(points).select("customer_unique_id", F.col("cluster").cast("bigint").alias("cluster"))
-    return customers.join(labels, "customer_unique_id")
+def decomposition(points: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Per k: customers in all clusters, and squared distances within clusters plus those between them.
+
+    Their sum is that of the points themselves, whatever the clusters are, so it can be held against the features.
+    """
+    with held(points) as points:
+        best = kmeans.best_fits(kmeans.fit_many(points, ks, seeds))
+    rows = [(f.k, sum(f.n), f.inertia + f.between) for f in best]
+    return points.sparkSession.createDataFrame(rows, "k bigint, customers bigint, total_squares double").withColumn("total_squares", F.round("total_squares", 1))
 
 
 def cluster_profile(clustered: DataFrame) -> DataFrame:
@@ -82,15 +93,16 @@ def name_clusters(profile: DataFrame, top: float = 0.7) -> DataFrame:
     return profile.withColumns({"rich": rich, "stale": stale}).withColumn("cluster_name", name).drop("rich", "stale")
 
 
-def with_clusters(customers: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """Customers with ``cluster`` and ``cluster_name``.
+def with_clusters(customers: DataFrame, k: int = 4, seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Customers with ``cluster`` (numbered by falling size) and ``cluster_name``, from the best of several starts.
 
-    Cluster numbers are arbitrary; read the name or the profile. The names, one per cluster, are
-    joined back on the cluster number.
+    The names, one per cluster, are joined back on the cluster number.
     """
-    points = vectors(standardise(feature_matrix(customers))).persist()
-    model = fit_kmeans(points, k, seed)
-    points.unpersist()
-    clustered = assign(customers, points, model)
+    with held(points_of(customers)) as points:
+        best = kmeans.best_fits(kmeans.fit_many(points, [k], seeds))
+    if not best:
+        none = F.lit(None)
+        return customers.withColumns({"cluster": none.cast("bigint"), "cluster_name": none.cast("string")})
+    clustered = customers.join(kmeans.assign(points, best[0], "customer_unique_id"), "customer_unique_id")
     names = name_clusters(cluster_profile(clustered)).select("cluster", "cluster_name")
     return clustered.join(names, "cluster")

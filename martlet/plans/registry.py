@@ -34,6 +34,7 @@ SOME_SELLERS = filters.Slice(order_year=(1997, 1998), payment_type=("credit_card
 HIGH_VOLUME = ("Premium + high volume", "Budget + high volume")
 SOME_CUSTOMERS = filters.Slice(rfm_segment=("Champions", "Loyal", "At Risk"))
 SOME_RISKS = ("3. Lapsed - HIGH value (priority win-back)",)
+SOME_CLUSTERS = ("High-value single buyers", "Multi-category buyers")
 EVENT_DAY = date(1998, 11, 24)
 
 
@@ -51,6 +52,11 @@ def _dim(m: Market) -> DataFrame:
     return exports.dim_customers(_segmented(m))
 
 
+@lru_cache(maxsize=4)
+def _dim_clustered(m: Market) -> DataFrame:
+    return exports.dim_customers(clusters.with_clusters(_segmented(m)))
+
+
 @lru_cache(maxsize=4)
 def _risky(m: Market) -> DataFrame:
     return customers.with_risk(_people(m), fact_orders(m), m.defs)
@@ -62,7 +68,7 @@ def _scored(m: Market) -> DataFrame:
 
 
 def _points(m: Market) -> DataFrame:
-    return clusters.vectors(clusters.standardise(clusters.feature_matrix(_people(m))))
+    return clusters.points_of(_people(m))
 
 
 def _clustered(m: Market) -> DataFrame:
@@ -253,10 +259,14 @@ MARKET_REPORTS: dict[str, Job] = {
         customers.with_value_decile(_scored(m)), "rfm_segment", "value_decile"),
     "cluster_feature_matrix": lambda m: _rounded(clusters.standardise(clusters.feature_matrix(_people(m))), 5),
     "cluster_k_scan": lambda m: clusters.scan_k(_points(m), range(2, 9)),
+    "cluster_decomposition": lambda m: clusters.decomposition(_points(m), range(2, 9)),
     "cluster_profile": lambda m: clusters.name_clusters(clusters.cluster_profile(_clustered(m))),
     "cluster_segment_crosstab": lambda m: rfm.crosstab(_clustered(m), "rfm_segment", "cluster_name"),
     "cluster_agreement": lambda m: rfm.agreement(_clustered(m), "rfm_segment", "cluster"),
     "export_dim_customers": _dim,
+    "export_dim_customers_clustered": _dim_clustered,
+    "customer_segments_by_cluster": lambda m: metrics.customer_segments(_dim_clustered(m), "kmeans_segment"),
+    "filtered_customers_by_cluster": lambda m: metrics.customers_summary(filters.Slice(kmeans_segment=SOME_CLUSTERS).of(_dim_clustered(m))),
     "customers_summary": lambda m: metrics.customers_summary(_dim(m)),
     "customer_segments": lambda m: metrics.customer_segments(_dim(m)),
     "filtered_customers_summary": lambda m: metrics.customers_summary(SOME_CUSTOMERS.of(_dim(m))),

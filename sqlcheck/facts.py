@@ -349,6 +349,11 @@ S["cluster_feature_matrix"] = q(FEAT, """f AS (SELECT who, CAST(rec AS DOUBLE) A
 SELECT who AS customer_unique_id, """ + ", ".join(
     f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 5) AS {name}" for c, name in zip(
         "rfmac", ["recency", "frequency", "monetary", "aov", "n_categories"])) + " FROM f")
+S["cluster_decomposition"] = q(FEAT, """f AS (SELECT CAST(rec AS DOUBLE) AS r, ln(1 + CAST(n AS DOUBLE)) AS f,
+  ln(1 + CAST(spend AS DOUBLE)) AS m, ln(1 + aov) AS a, ln(1 + CAST(n_cat AS DOUBLE)) AS c FROM feat),
+z AS (SELECT """ + ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {c}" for c in "rfmac") + """ FROM f)""", """
+SELECT k, count(*) AS customers, round(sum(""" + " + ".join(f"{c} * {c}" for c in "rfmac") + """), 1) AS total_squares
+FROM z, (SELECT unnest(range(2, 9)) AS k) GROUP BY k""")
 DIM = RISK + f""",
 dim AS (
   SELECT who AS customer_unique_id, state AS customer_state, CAST(t0 AS DATE) AS first_order_date, CAST(t1 AS DATE) AS last_order_date,

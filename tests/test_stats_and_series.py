@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martlet.functions import tails
-from martlet.operators import clusters, forecasting, hypothesis, rfm, series
+from martlet.operators import clusters, forecasting, hypothesis, kmeans, rfm, series
 
 
 def test_tail_functions():
@@ -142,9 +142,10 @@ def test_kmeans_invariants(spark):
     parts = [rng.normal(m, 0.1, (40, 2)) for m in (0, 5, 10)]
     pts = pd.DataFrame(np.vstack(parts), columns=["x", "y"])
     pts.insert(0, "customer_unique_id", np.arange(len(pts)))
-    vec = clusters.vectors(clusters.standardise(spark.createDataFrame(pts), ["x", "y"]), ["x", "y"])
-    scan = clusters.scan_k(vec, [2, 3]).toPandas().set_index("k")
-    assert scan.inertia[3] < scan.inertia[2] and scan.silhouette[3] > 0.9
+    points = kmeans.point_frame(
+        clusters.standardise(spark.createDataFrame(pts), ["x", "y"]), "customer_unique_id", ["x", "y"])
+    scan = clusters.scan_k(points, [2, 3]).toPandas().set_index("k")
+    assert scan.inertia[3] < scan.inertia[2] and scan.silhouette[3] > 0.9 and scan.converged.all()
 
 
 def test_kpss_uses_as_many_lags_as_the_length_asks_for(spark):
