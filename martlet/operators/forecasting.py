@@ -1,25 +1,22 @@
 """Forecasts for many series: baselines, exponential smoothing, two ARIMA forms, a model ladder.
 
-Models return ``(series_id, model, step, forecast)``. Baselines and both ARIMA forms are grouped
-aggregates. Simple smoothing folds each series once per grid value inside the JVM, with the grid as
-the parallel axis. The Holt family runs one series per call of a small NumPy helper; a series is at
-most as long as its calendar.
+Models return ``(series_id, model, step, forecast)``; where a series is too short for a model, its
+forecasts are NULL and it is ranked last. Baselines and ARIMA(1,1,0) are grouped aggregates. Simple
+smoothing folds each series once per grid value inside the JVM (see ``martlet.operators.holt``).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.functions.numbers import pct
+from martlet.operators.holt import holt_family, packed
 from martlet.operators.series import SERIES, by_time
 
 # Model names of the ladder.
 NAIVE, MEAN, MOVING, DRIFT = "Naive (last value)", "Mean (all history)", "Moving average (3)", "Drift"
 SES, ARIMA_011, ARIMA_110 = "Simple exp smoothing", "ARIMA(0, 1, 1)", "ARIMA(1, 1, 0)"
-HOLT, HOLT_DAMPED, HOLT_WINTERS = "Holt (additive trend)", "Holt (damped trend)", "Holt-Winters (seasonal)"
 
 
 def _steps(df: DataFrame, model: str, horizon: int, forecast: Column) -> DataFrame:
@@ -59,37 +56,35 @@ def seasonal_naive(train: DataFrame, horizon: int, period: int) -> DataFrame:
 
 
 def smoothing_grid(train: DataFrame, low: int, high: int, per_unit: int) -> DataFrame:
-    """Error sum and final level of simple smoothing for every alpha = k/per_unit, low <= k <= high.
+    """Per series the error sum and final level of simple smoothing for every alpha = k/per_unit, low <= k <= high.
 
     The starting level is the least-squares one. With level and errors linear in the start l0, the
     fold carries the level for l0 = 0, the weight left on l0 and three sums; the best l0 and its
     error sum follow in closed form.
     """
-    packed = train.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("rows")).select(
-        SERIES, F.transform("rows", lambda r: r["value"]).alias("values"))
-    grid = packed.withColumn("alpha", F.explode(F.transform(
-        F.sequence(F.lit(low), F.lit(high)), lambda k: k / F.lit(float(per_unit)))))
-    keep = 1.0 - F.col("alpha")
     start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("w"), F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
 
-    def step(acc: Column, y: Column) -> Column:
-        b = y - acc["s"]
-        return F.struct((acc["s"] * keep + F.col("alpha") * y).alias("s"), (acc["w"] * keep).alias("w"),
-                        (acc["ab"] + acc["w"] * b).alias("ab"), (acc["aa"] + acc["w"] * acc["w"]).alias("aa"),
-                        (acc["bb"] + b * b).alias("bb"))
+    def fit(k: Column) -> Column:
+        alpha = k / F.lit(float(per_unit))
 
-    folded = grid.withColumn("f", F.aggregate("values", start, step))
-    level0 = F.try_divide(F.col("f.ab"), F.col("f.aa"))
-    return folded.select(
-        SERIES, "alpha", F.size("values").cast("bigint").alias("n"),
-        (F.col("f.bb") - F.try_divide(F.col("f.ab") * F.col("f.ab"), F.col("f.aa"))).alias("sse"),
-        (F.col("f.s") + F.col("f.w") * level0).alias("level"))
+        def step(acc: Column, y: Column) -> Column:
+            b = y - acc["s"]
+            return F.struct((acc["s"] * (1.0 - alpha) + alpha * y).alias("s"), (acc["w"] * (1.0 - alpha)).alias("w"),
+                            (acc["ab"] + acc["w"] * b).alias("ab"), (acc["aa"] + acc["w"] * acc["w"]).alias("aa"),
+                            (acc["bb"] + b * b).alias("bb"))
+
+        def finish(acc: Column) -> Column:
+            return F.struct((acc["bb"] - F.try_divide(acc["ab"] * acc["ab"], acc["aa"])).alias("sse"), alpha.alias("alpha"),
+                            (acc["s"] + acc["w"] * F.try_divide(acc["ab"], acc["aa"])).alias("level"))
+
+        return F.aggregate("values", start, step, finish)
+
+    return packed(train).select(SERIES, F.size("values").cast("bigint").alias("n"), F.transform(F.sequence(F.lit(low), F.lit(high)), fit).alias("fits"))
 
 
 def best_smoothing(train: DataFrame, low: int, high: int, per_unit: int) -> DataFrame:
     """The grid value with the smallest error sum per series (the smallest alpha on a tie)."""
-    return smoothing_grid(train, low, high, per_unit).groupBy(SERIES).agg(
-        F.min_by(F.struct("alpha", "n", "sse", "level"), F.struct("sse", "alpha")).alias("b")).select(SERIES, "b.*")
+    return smoothing_grid(train, low, high, per_unit).select(SERIES, "n", F.array_min("fits").alias("b")).select(SERIES, "b.alpha", "n", "b.sse", "b.level")
 
 
 def simple_smoothing(train: DataFrame, horizon: int, per_unit: int = 100) -> DataFrame:
@@ -120,75 +115,7 @@ def arima_110(train: DataFrame, horizon: int) -> DataFrame:
     powers = F.aggregate(F.sequence(F.lit(1), F.col("step")), F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("t")),
                          lambda acc, _: F.struct((acc["p"] * F.col("phi")).alias("p"), (acc["t"] + acc["p"] * F.col("phi")).alias("t")),
                          lambda acc: acc["t"])
-    return _steps(s.where(F.col("phi").isNotNull()), ARIMA_110, horizon, F.col("last") + F.col("last_d") * powers)
-
-
-def _holt_errors(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, phi: np.ndarray, gamma: np.ndarray, m: int):
-    """Fit every grid point at once: best starting states by least squares, end states, error sums.
-
-    States are level, trend and ``m`` seasonal terms; all are linear in the starting states, so each
-    is carried as coefficients (one per start, plus a constant).
-    """
-    points, k = len(alpha), 2 + m
-    state = np.zeros((points, k, k + 1))
-    state[:, np.arange(k), np.arange(k)] = 1.0
-    normal, right, square = np.zeros((points, k, k)), np.zeros((points, k)), np.zeros(points)
-    for value in y:
-        level, trend = state[:, 0].copy(), state[:, 1] * phi[:, None]
-        season = state[:, 2].copy() if m else 0.0
-        error = -(level + trend + season)
-        error[:, k] += value
-        a, c = error[:, :k], error[:, k]
-        normal += a[:, :, None] * a[:, None, :]
-        right -= a * c[:, None]
-        square += c * c
-        state[:, 0] = level + trend + alpha[:, None] * error
-        state[:, 1] = trend + (alpha * beta)[:, None] * error
-        if m:
-            renewed = season + gamma[:, None] * error
-            state[:, 2:-1] = state[:, 3:]
-            state[:, -1] = renewed
-    ridge = 1e-9 * np.trace(normal, axis1=1, axis2=2)[:, None, None] * np.eye(k)
-    start = np.linalg.solve(normal + ridge, right[:, :, None])[:, :, 0]
-    sse = square - 2 * np.einsum("ij,ij->i", start, right) + np.einsum("ij,ijk,ik->i", start, normal, start)
-    end = np.einsum("ijk,ik->ij", state[:, :, :k], start) + state[:, :, k]
-    return sse, end
-
-
-def _grid(damped: bool, seasonal: bool) -> tuple[np.ndarray, ...]:
-    steps = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])
-    phi = np.array(([0.9, 0.98] if seasonal else [0.8, 0.85, 0.9, 0.94, 0.96, 0.98]) if damped else [1.0])
-    gamma = np.array([0.0, 0.05, 0.1, 0.2, 0.4]) if seasonal else np.array([0.0])
-    beta = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0])
-    mesh = np.meshgrid(steps, beta, phi, gamma, indexing="ij")
-    return tuple(g.ravel() for g in mesh)
-
-
-def holt_forecast(y: np.ndarray, horizon: int, damped: bool, season: int = 0) -> np.ndarray:
-    """Forecast of one series by the best grid point."""
-    alpha, beta, phi, gamma = _grid(damped, season > 0)
-    sse, end = _holt_errors(y, alpha, beta, phi, gamma, season)
-    best = int(np.nanargmin(sse))
-    level, trend, p = end[best, 0], end[best, 1], phi[best]
-    grown = np.cumsum(p ** np.arange(1, horizon + 1))
-    out = level + trend * grown
-    return out + np.resize(end[best, 2:], horizon) if season else out
-
-
-def holt_family(train: DataFrame, horizon: int, season: int = 0) -> DataFrame:
-    """Holt, damped Holt and, with a season, damped Holt-Winters. One series per group."""
-    wanted = [(HOLT, False, 0), (HOLT_DAMPED, True, 0)] + ([(HOLT_WINTERS, True, season)] if season else [])
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("period")["value"].to_numpy(dtype=float)
-        rows_out = [(rows[SERIES].iloc[0], name, step, float(value))
-                    for name, damped, m in wanted if len(y) > m + 3
-                    for step, value in enumerate(holt_forecast(y, horizon, damped, m), start=1)]
-        return pd.DataFrame(rows_out, columns=[SERIES, "model", "step", "forecast"])
-
-    key_type = train.schema[SERIES].dataType.simpleString()
-    return train.select(SERIES, "period", "value").groupBy(SERIES).applyInPandas(
-        fit, f"{SERIES} {key_type}, model string, step bigint, forecast double")
+    return _steps(s, ARIMA_110, horizon, F.col("last") + F.col("last_d") * powers)
 
 
 def error_metrics(actual: Column, predicted: Column) -> dict[str, Column]:
@@ -205,7 +132,7 @@ def score(forecasts: DataFrame, test: DataFrame, digits: int = 4) -> DataFrame:
     m = joined.groupBy(SERIES, "model").agg(*[c.alias(n) for n, c in error_metrics(F.col("value"), F.col("forecast")).items()])
     of_series = Window.partitionBy(SERIES)
     naive = F.max(F.when(F.col("model") == NAIVE, F.col("MAE"))).over(of_series)
-    ranked = m.withColumns({"naive": naive, "rank": F.row_number().over(of_series.orderBy(F.round("MAE", digits), "model"))})
+    ranked = m.withColumns({"naive": naive, "rank": F.row_number().over(of_series.orderBy(F.asc_nulls_last(F.round("MAE", digits)), "model"))})
     return ranked.select(
         SERIES, "model", *[F.round(c, digits).alias(c) for c in ("MAE", "RMSE", "MAPE_pct")],
         (F.round(pct("MAE", "naive") - 100.0, digits) + 0.0).alias("vs_naive_pct"), F.col("rank").cast("bigint").alias("rank"))

@@ -307,7 +307,8 @@ MARKET_REPORTS: dict[str, Job] = {
     "forecast_arima_110": lambda m: _rounded(forecasting.arima_110(_month_split(m).where(~F.col("is_test")), 4), 2),
     "forecast_ladder_closed_form": lambda m: forecasting.evaluate(_month_split(m), 4, holt=False),
     "forecast_ladder": lambda m: forecasting.evaluate(_month_split(m), 4),
-    "forecast_holt_family": lambda m: forecasting.holt_family(_month_split(m).where(~F.col("is_test")), 4, 12),
+    "forecast_ladder_daily": lambda m: forecasting.evaluate(series.split_tail(series.regular(series.daily_series(fact_orders(m), F.lit("all"))), 28), 28, 7),
+    "forecast_holt_family": lambda m: _rounded(forecasting.holt_family(_month_split(m).where(~F.col("is_test")), 4, 12), 2),
     "forecast_history_and_future": lambda m: forecasting.history_and_forecast(_state_months(m)),
 }
 

@@ -328,3 +328,84 @@ S["forecast_ladder_closed_form"] = recursive(
 SELECT state AS series_id, model, round(mae, 4) AS "MAE", round(rmse, 4) AS "RMSE", round(mape, 4) AS "MAPE_pct",
   round(100.0 * mae / max(mae) FILTER (model = 'Naive (last value)') OVER (PARTITION BY state) - 100, 4) + CAST(0 AS DOUBLE) AS vs_naive_pct,
   row_number() OVER (PARTITION BY state ORDER BY round(mae, 4), model) AS rank FROM sc""")
+
+
+# ---------------------------------------------------------------- trend and season
+def _list(values: tuple) -> str:
+    return "(SELECT unnest([" + ", ".join(f"CAST({v} AS DOUBLE)" for v in values) + "]) AS x)"
+
+
+_A = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+_B = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
+
+
+def holt(source: str, name: str, phis: tuple) -> str:
+    """Recursive Holt smoothing with the least-squares start; the best grid point per series as ``<name>b``."""
+    return f"""RECURSIVE_MARK {name}(state, a, b, p, i, c, c1, c2, t, t1, t2, aa, ab, bb, ra, rb, sq) AS (
+  SELECT state, a.x, b.x, p.x, CAST(0 AS BIGINT), 0e0, 1e0, 0e0, 0e0, 0e0, 1e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0
+  FROM (SELECT DISTINCT state FROM {source}), {_list(_A)} a, {_list(_B)} b, {_list(phis)} p
+  UNION ALL
+  SELECT state, a, b, p, i + 1, c + u + a * e, (1 - a) * g1, (1 - a) * g2, u + a * b * e, u1 - a * b * g1, u2 - a * b * g2,
+    aa + g1 * g1, ab + g1 * g2, bb + g2 * g2, ra + g1 * e, rb + g2 * e, sq + e * e
+  FROM (SELECT *, v - c - u AS e, c1 + u1 AS g1, c2 + u2 AS g2
+        FROM (SELECT h.*, s.v, t * p AS u, t1 * p AS u1, t2 * p AS u2 FROM {name} h JOIN {source} s ON s.state = h.state AND s.i = h.i + 1))),
+{name}d AS (SELECT *, CASE WHEN aa * bb - ab * ab > 1e-10 * aa * bb THEN aa * bb - ab * ab END AS det FROM {name}
+  WHERE i = (SELECT max(i) FROM {source} s WHERE s.state = {name}.state)),
+{name}s AS (SELECT *, (ra * bb - rb * ab) / det AS l0, (aa * rb - ab * ra) / det AS b0 FROM {name}d),
+{name}b AS (SELECT state, p, i AS n, c + c1 * l0 + c2 * b0 AS level, t + t1 * l0 + t2 * b0 AS trend FROM {name}s
+  QUALIFY row_number() OVER (PARTITION BY state ORDER BY sq - l0 * ra - b0 * rb, a, b, p) = 1)"""
+
+
+def holt_winters(source: str, name: str, m: int) -> str:
+    """Recursive damped Holt-Winters from the first two seasons."""
+    return f"""{name}0 AS (SELECT state, avg(v) FILTER (i <= {m}) AS m1, avg(v) FILTER (i > {m}) AS m2, list(v ORDER BY i) FILTER (i <= {m}) AS f FROM {source} WHERE i <= {2 * m} GROUP BY state),
+RECURSIVE_MARK {name}(state, a, b, p, g, i, l, t, z, sq) AS (
+  SELECT state, a.x, b.x, p.x, g.x, CAST(0 AS BIGINT), m1, (m2 - m1) / {m}, list_transform(f, lambda q: q - m1), 0e0
+  FROM {name}0, {_list(_A)} a, {_list(_B)} b, {_list((0.9, 0.98))} p, {_list((0.0, 0.05, 0.1, 0.2, 0.4))} g
+  UNION ALL
+  SELECT state, a, b, p, g, i + 1, l + u + a * e, u + a * b * e, list_append(z[2:], z[1] + g * e), sq + e * e
+  FROM (SELECT *, v - l - u - z[1] AS e FROM (SELECT h.*, s.v, t * p AS u FROM {name} h JOIN {source} s ON s.state = h.state AND s.i = h.i + 1))),
+{name}b AS (SELECT state, p, i AS n, l AS level, t AS trend, z FROM {name} WHERE i = (SELECT max(i) FROM {source} s WHERE s.state = {name}.state)
+  QUALIFY row_number() OVER (PARTITION BY state ORDER BY sq, a, b, p, g) = 1)"""
+
+
+def holt_rows(horizon: int, m: int = 0) -> str:
+    """(state, step, model, f) of the family; series that are too short have NULL."""
+    ahead = "level + trend * list_sum(list_transform(range(1, step + 1), lambda j: pow(p, CAST(j AS DOUBLE))))"
+    parts = [f"SELECT state, step, 'Holt (additive trend)' AS model, CASE WHEN n >= 4 THEN {ahead} END AS f FROM h1b, range(1, {horizon + 1}) s(step)",
+             f"SELECT state, step, 'Holt (damped trend)', CASE WHEN n >= 4 THEN {ahead} END FROM h2b, range(1, {horizon + 1}) s(step)"]
+    if m:
+        parts.append(f"SELECT state, step, 'Holt-Winters (seasonal)', CASE WHEN n >= {2 * m} THEN {ahead} + z[(step - 1) % {m} + 1] END FROM h3b, range(1, {horizon + 1}) s(step)")
+    return " UNION ALL ".join(parts)
+
+
+_PHIS = (0.8, 0.85, 0.9, 0.94, 0.96, 0.98)
+S["forecast_holt_family"] = recursive(TRAIN, holt("tr", "h1", (1.0,)), holt("tr", "h2", _PHIS), holt_winters("tr", "h3", 12), f"""
+SELECT state AS series_id, model, CAST(step AS BIGINT) AS step, round(f, 2) AS forecast FROM ({holt_rows(4, 12)})""")
+
+
+def ladder(base: str, more: str, horizon: int, extra: str = "") -> str:
+    """The whole ladder over the CTEs tr and te."""
+    several = smoothing("tr", 199).replace("RECURSIVE_MARK sm(", "RECURSIVE_MARK s2(").replace(" sm JOIN", " s2 sm JOIN").replace("AS level FROM sm\n", "AS level FROM s2 sm\n").replace("bs AS (", "b2 AS (")
+    scored = _LADDER.replace("), sc AS (", "),\nsc AS (").replace("allf AS (", f"allf AS ({more} UNION ALL {extra}")
+    scored = scored.replace("range(1, 5)", f"range(1, {horizon + 1})")
+    if horizon > 4:
+        a = scored.index("last + ld * ("); b = scored.index(" FROM p, range")
+        scored = scored[:a] + "last + ld * list_sum(list_transform(range(1, step + 1), lambda j: pow(phi, CAST(j AS DOUBLE))))" + scored[b:]
+    return recursive(base, _BASE_F.replace("range(1, 5)", f"range(1, {horizon + 1})"), smoothing("tr", 100), several, holt("tr", "h1", (1.0,)), holt("tr", "h2", _PHIS),
+                     *([holt_winters("tr", "h3", 7)] if extra else []), scored, """
+SELECT state AS series_id, model, round(mae, 4) AS "MAE", round(rmse, 4) AS "RMSE", round(mape, 4) AS "MAPE_pct",
+  round(100.0 * mae / max(mae) FILTER (model = 'Naive (last value)') OVER (PARTITION BY state) - 100, 4) + CAST(0 AS DOUBLE) AS vs_naive_pct,
+  row_number() OVER (PARTITION BY state ORDER BY round(mae, 4), model) AS rank FROM sc""")
+
+
+S["forecast_ladder"] = ladder(TRAIN, holt_rows(4), 4)
+_ALL_TRAIN = BASE + """, tr AS (SELECT 'all' AS state, mo, v, i, c - 4 AS n FROM al WHERE i <= c - 4), te AS (SELECT 'all' AS state, i - (c - 4) AS step, v FROM al WHERE i > c - 4)"""
+S["export_forecast_models"] = ladder(_ALL + ", al4 AS (SELECT *, count(*) OVER () AS c FROM al)" + _ALL_TRAIN[len(BASE):].replace("FROM al ", "FROM al4 "), holt_rows(4), 4).replace(
+    "SELECT state AS series_id, model, round(mae, 4)", "SELECT model, round(mae, 4)")
+_DAY_ALL = BASE + """,
+d1 AS (SELECT day, CAST(sum(rev) AS DOUBLE) AS v FROM o GROUP BY day),
+d2 AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d1),
+d3 AS (SELECT 'all' AS state, day AS mo, coalesce(v, 0) AS v, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS c FROM d2 LEFT JOIN d1 USING (day)),
+tr AS (SELECT state, mo, v, i, c - 28 AS n FROM d3 WHERE i <= c - 28), te AS (SELECT state, i - (c - 28) AS step, v FROM d3 WHERE i > c - 28)"""
+S["forecast_ladder_daily"] = ladder(_DAY_ALL, holt_rows(28, 7), 28, "SELECT state, step, 'Seasonal naive (7)', v FROM tr, range(1, 29) s(step) WHERE i = n - 7 + (step - 1) % 7 + 1 UNION ALL ")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martlet.functions import tails
-from martlet.operators import clusters, forecasting, hypothesis, kmeans, rfm, series
+from martlet.operators import clusters, forecasting, holt, hypothesis, kmeans, rfm, series
 
 
 def test_tail_functions():
@@ -88,11 +88,54 @@ def test_smoothing_matches_direct_search(spark):
     assert best["alpha"] == pytest.approx(brute[1], abs=0.02) and best["sse"] <= brute[0] + 1e-9
 
 
+def _ahead(forecasts):
+    return [r["forecast"] for r in sorted(forecasts.collect(), key=lambda r: r["step"])]
+
+
 def test_holt_follows_a_line_and_seasons(spark):
     line = 5 + 3 * np.arange(24.0)
-    assert forecasting.holt_forecast(line, 4, False) == pytest.approx(5 + 3 * np.arange(24, 28), rel=1e-3)
+    assert _ahead(holt.holt_forecast(_months(spark, line), 4, "m", False)) == pytest.approx(5 + 3 * np.arange(24, 28), rel=1e-6)
     wave = np.tile([1.0, 5.0, 2.0, 8.0], 8) + 20
-    assert forecasting.holt_forecast(wave, 4, True, 4) == pytest.approx(wave[:4], rel=1e-2)
+    assert _ahead(holt.holt_forecast(_months(spark, wave), 6, "m", True, 4)) == pytest.approx([*wave[:4], *wave[:2]], rel=1e-6)
+
+
+def test_holt_finds_the_least_error_of_its_grid(spark):
+    y = np.array([10, 14, 11, 19, 16, 24, 20, 29, 22, 31, 30.0, 28])
+
+    def run(alpha, beta, phi, level, trend):
+        total = 0.0
+        for v in y:
+            e = v - level - phi * trend
+            level, trend, total = level + phi * trend + alpha * e, phi * trend + alpha * beta * e, total + e * e
+        return total, level, trend
+
+    def least(alpha, beta, phi):
+        # The errors are linear in the start, so two unit starts and the zero start give the normal equations.
+        def errors(level, trend):
+            out = []
+            for v in y:
+                out.append(v - level - phi * trend)
+                level, trend = level + phi * trend + alpha * out[-1], phi * trend + alpha * beta * out[-1]
+            return np.array(out)
+
+        zero = errors(0, 0)
+        start = np.linalg.lstsq(np.stack([zero - errors(1, 0), zero - errors(0, 1)], axis=1), zero, rcond=None)[0]
+        return run(alpha, beta, phi, *start)
+
+    for damped, phis in ((False, (1.0,)), (True, holt.PHIS)):
+        best = holt.best_holt(_months(spark, y), damped).first()["best"]
+        want = min((least(a, b, p) for a in holt.ALPHAS for b in holt.BETAS for p in phis), key=lambda x: x[0])
+        assert (best["sse"], best["level"], best["trend"]) == pytest.approx(want, rel=1e-6)
+
+
+def test_short_series_keep_rows_without_forecast(spark):
+    short = _months(spark, [3.0, 4.0, 6.0], "short").unionByName(_months(spark, np.arange(12.0) ** 1.5, "long"))
+    got = forecasting.forecasts_for(short, 2, 4).groupBy("series_id", "model").agg(F.count(F.lit(1)).alias("n"), F.count("forecast").alias("known")).collect()
+    known = {(r["series_id"], r["model"]): r["known"] for r in got if r["n"] == 2}
+    assert {m for s, m in known if s == "short"} >= {holt.HOLT, holt.HOLT_DAMPED, holt.HOLT_WINTERS}
+    assert all(known["short", m] == 0 and known["long", m] == 2 for m in (holt.HOLT, holt.HOLT_DAMPED, holt.HOLT_WINTERS))
+    ranks = forecasting.score(forecasting.holt_family(short, 2).unionByName(forecasting.baselines(short, 2)), _months(spark, [1.0, 2.0], "short").withColumn("step", F.month("period").cast("bigint"))).collect()
+    assert {r["rank"] for r in ranks if r["MAE"] is None} == {5, 6} and len(ranks) == 6
 
 
 def test_ladder_ranks_every_model_and_handles_short_series(spark):
