@@ -292,7 +292,20 @@ _PROFILE = [("orders", "ord", [("order_id", "oid", "bigint"), ("customer_id", "c
     ("reviews", "rawrev", [("review_id", "rid", "bigint"), ("order_id", "oid", "bigint"), ("review_score", "score", "int"),
     ("review_comment_title", "CASE WHEN rid = oid AND oid % 10 = 0 THEN 'title' END", "string"), ("review_comment_message", "msg", "string"),
     ("review_creation_date", "created", "timestamp_ntz"), ("review_answer_timestamp", "answered", "timestamp_ntz")])]
-S["quality_column_profile"] = q(ORD, REV, "\nUNION ALL\n".join(
+_PROFILE += [
+    ("order_items", "lineitem", [("order_id", "l_orderkey", "bigint"), ("order_item_id", "l_linenumber", "int"), ("product_id", "l_partkey", "bigint"), ("seller_id", "l_suppkey", "bigint"),
+     ("shipping_limit_date", "l_shipdate", "timestamp_ntz"), ("price", _PRICE, "decimal(18,2)"), ("freight_value", _FRT, "decimal(18,2)")]),
+    ("customers", "customer JOIN nation ON n_nationkey = c_nationkey", [("customer_id", "c_custkey", "bigint"), ("customer_unique_id", "c_custkey", "bigint"),
+     ("customer_zip_code_prefix", "c_custkey % 100", "bigint"), ("customer_city", "' ' || lower(c_name) || '--' || c_mktsegment", "string"), ("customer_state", "lower(n_name) || ' '", "string")]),
+    ("payments", "pay", [("order_id", "oid", "bigint"), ("payment_sequential", "seq", "int"), ("payment_type", "CASE WHEN kind = 'voucher' AND seq = 1 THEN ' voucher ' ELSE kind END", "string"),
+     ("payment_installments", "inst0", "int"), ("payment_value", "val", "decimal(18,2)")]),
+    ("sellers", "supplier JOIN nation ON n_nationkey = s_nationkey", [("seller_id", "s_suppkey", "bigint"), ("seller_zip_code_prefix", "s_suppkey % 120", "bigint"),
+     ("seller_city", "s_name", "string"), ("seller_state", "n_name", "string")]),
+    ("geolocation", "geo", [("geolocation_zip_code_prefix", "zip", "bigint"), ("geolocation_lat", "lat", "double"), ("geolocation_lng", "lng", "double"),
+     ("geolocation_city", "city", "string"), ("geolocation_state", "state", "string")]),
+    ("category_translation", "(SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN ('Brand#7', 'Brand#13'))", [("product_category_name", "p_brand", "string"),
+     ("product_category_name_english", "lower(replace(p_brand, '#', '_'))", "string")])]
+S["quality_column_profile"] = q(ORD, PAY, REV, _GEO, "\nUNION ALL\n".join(
     f"""SELECT '{t}' AS "table", '{c}' AS "column", '{d}' AS dtype, count({x}) AS non_null, count(DISTINCT {x}) AS n_unique FROM {s}"""
     for t, s, cols in _PROFILE for c, x, d in cols))
 _PAIRS = [("fact_order_items[order_id] -> fact_orders[order_id]", "f2"), ("fact_order_items[category] -> dim_category_performance[category]", "f2"),
