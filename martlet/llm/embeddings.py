@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def directions(dimension: int, tables: int, width: int, cell: float) -> tuple[np
 
 
 def hashed(rows: DataFrame, tables: int, width: int, cell: float) -> DataFrame:
-    """vec_id, label, mark (of label and vector; null for vectors that link with nothing), unit, keys."""
+    """vec_id, label (a string), mark (of label and vector; null for vectors that link with nothing), unit, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -44,13 +45,16 @@ def hashed(rows: DataFrame, tables: int, width: int, cell: float) -> DataFrame:
                 if x is None or not np.isfinite(x).all():
                     marks.append(None), units.append(None), keys.append(np.empty(0, dtype=np.int64))
                     continue
-                marks.append(hashlib.blake2b(vector.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes(), digest_size=16, salt=str(label.as_py()).encode()[:16]).digest())
+                name = label.as_py().encode("utf-8", "surrogatepass")
+                digest = hashlib.blake2b(len(name).to_bytes(8, "little") + name, digest_size=16)
+                digest.update(vector.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+                marks.append(digest.digest())
                 x = x / np.sqrt(x @ x)
                 if len(x) not in lines:
                     lines[len(x)] = directions(len(x), tables, width, cell)
                 a, shift = lines[len(x)]
                 cells = np.floor((x @ a + shift) / cell).astype(np.int64).view(np.uint64).reshape(tables, width)
-                start = wordhash.mix(np.uint64(hash((label.as_py(), len(x))) % 2**64) + np.arange(tables, dtype=np.uint64))
+                start = wordhash.mix(np.uint64(xxhash.xxh3_64_intdigest(name, seed=len(x))) + np.arange(tables, dtype=np.uint64))
                 for i in range(width):
                     start = wordhash.mix(start * np.uint64(0xD1342543DE82EF95) + cells[:, i])
                 units.append(x.astype("<f8").tobytes())
@@ -58,14 +62,15 @@ def hashed(rows: DataFrame, tables: int, width: int, cell: float) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)], dtype=np.int32)), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(units, pa.binary()), lists], names=["vec_id", "label", "mark", "unit", "keys"])
 
-    return rows.mapInArrow(run, "vec_id long, label long, mark binary, unit binary, keys array<long>")
+    return rows.mapInArrow(run, "vec_id long, label string, mark binary, unit binary, keys array<long>")
 
 
 def _compare(dealt: DataFrame, least: float) -> DataFrame:
     """(node, n, low) for each pair of blocks: the node's links found here (copies counted), and the least node it is joined to."""
 
     def run(group: pa.Table) -> pa.Table:
-        node, own, copies, label = (group.column(c).to_numpy() for c in ("node", "own", "copies", "label"))
+        node, own, copies = (group.column(c).to_numpy() for c in ("node", "own", "copies"))
+        label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         lo, hi, which = (group.column(c)[0].as_py() for c in ("lo", "hi", "at"))
         units = [np.frombuffer(x.as_py(), dtype="<f8") for x in group.column("unit")]
         size = np.array([len(u) for u in units])
@@ -106,10 +111,13 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", label: str = "label
     quadratic in the cluster by nature; the work is spread over block pairs.
 
     Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and null labels, link with
-    nothing (n_links 0, component_id = vec_id); vectors of different lengths never link; rows that repeat an id are one
+    nothing (n_links 0, component_id = vec_id); vectors of different lengths never link; labels are of any
+    simple type and are told apart as texts; rows that repeat an id are one
     node; a class without any id is linked with nothing; other columns are not read; an empty table gives an empty one.
     """
-    marked = table(hashed(rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector)), tables, width, cell), "vectors")
+    kind = rows.select(label).dtypes[0][1]
+    name = (F.col(label) + F.lit(0).cast(kind) if kind in ("double", "float") else F.col(label)).cast("string")  # -0.0 is 0.0
+    marked = table(hashed(rows.select(F.col(vec_id).cast("long").alias("vec_id"), name.alias("label"), F.col(vector)), tables, width, cell), "vectors")
     classes = marked.filter("mark is not null").groupBy("mark").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = table(classes, "classes")
     nodes = marked.join(classes, "mark").filter("vec_id = node").dropDuplicates(["mark"]).select("mark", "node", "copies", "label", "unit", "keys")

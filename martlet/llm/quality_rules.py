@@ -13,6 +13,8 @@ from martlet.llm.shared import table
 
 WHITE_SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: The most hosts that are broadcast to the documents (about 10 MB).
+FEW_HOSTS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,6 +49,13 @@ def repeated_words(words: Column, width: int) -> Column:
     return F.when(F.size(words) > width, let(windows, covered)).otherwise(0).cast("long")
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that rows do not have."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
+
+
 def base_rules(docs: DataFrame, text: str = "text", *, min_words: int = 20, max_repeat_percent: int = 30, window: int = 8) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
@@ -55,12 +64,13 @@ def base_rules(docs: DataFrame, text: str = "text", *, min_words: int = 20, max_
     content = F.coalesce(F.col(text), F.lit(""))
     has_word = lambda line: F.length(F.translate(line, WHITE_SPACE, "")) > 0
     lines = F.filter(F.split(content, "\n", -1), has_word)
+    rule = free_name(docs, "rule")
     return docs.withColumns({
         "word_chars": F.length(F.translate(content, WHITE_SPACE, "")).cast("long"),
         "n_symbols": (F.length(content) - F.length(F.translate(content, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "_rule": let(words_of(content), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w, window).alias("r"))),
-    }).withColumns({"n_words": F.col("_rule.n"), "n_repeat_words": F.col("_rule.r")}).drop("_rule").withColumn(
+        rule: let(words_of(content), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w, window).alias("r"))),
+    }).withColumns({"n_words": F.col(f"{rule}.n"), "n_repeat_words": F.col(f"{rule}.r")}).drop(rule).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
@@ -88,11 +98,14 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", *,
     Defined results: a null or empty text fails (no words); a null host is one host; repeated rows are judged each; other
     columns pass unless a result has their name; an empty table gives an empty one. The judged rows (no texts) are written
     to the shared folder once, and both the host sums and the join back read that table. Hosts are pre-aggregated before
-    any shuffle. The join carries no hint: Spark broadcasts the host table only under its size threshold, and splits hot
-    hosts in the join otherwise.
+    any shuffle. Up to FEW_HOSTS hosts, counted, are broadcast, so documents stay where they lie; with more, Spark chooses
+    the join and splits hot hosts. Whole texts are judged, of any length.
     """
     judged = table(base_rules(docs, text, **rules).drop(text), "judged")
-    hosts = host_verdicts(judged, host, max_rate=max_rate)
+    key = free_name(judged, "host")
+    hosts = table(host_verdicts(judged, host, max_rate=max_rate).withColumnRenamed("_host", key), "hosts")
+    if hosts.count() <= FEW_HOSTS:
+        hosts = F.broadcast(hosts)
     judged = judged.drop("n_docs", "n_failed", "shrunk_rate", "host_failed", "kept")
-    return judged.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left").withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_host", "host_failed")
+    return judged.join(hosts, F.col(host).eqNullSafe(F.col(key)), "left").withColumn(
+        "kept", ~F.col("base_failed") & ~F.col("host_failed")).drop(key, "host_failed")

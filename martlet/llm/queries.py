@@ -16,7 +16,7 @@ from martlet.llm.licenses import scan_licenses
 from martlet.llm.minhash import near_duplicates
 from martlet.llm.mixing import mix
 from martlet.llm.quality_rules import quality_rules, words_of
-from martlet.llm.sentencepieces import decode_pieces, encode_pieces
+from martlet.llm.sentencepieces import code_pieces
 from martlet.llm.substrings import remove_repeats
 from martlet.llm.token_counts import token_counts
 from martlet.llm.token_files import read_tokens, write_tokens
@@ -55,8 +55,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents"), model), model)
-    return decoded.select("doc_id", "n_tokens", "n_differing", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+    return code_pieces(_read(spark, sf_dir, "documents"), model).select("doc_id", "n_tokens", "n_differing", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ class PieceEncoder:
             part = segments[i:i + 4096]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             for segment, ids, theirs in zip(part, ours, self._reference(part)):
-                self.known[segment] = (array("i", theirs).tobytes(), int(ids != theirs))
+                self.known[segment] = (array("i", ids).tobytes(), int(ids != theirs))
 
     def _reference(self, segments: list[str]) -> list[list[int]]:
         """The sentencepiece library's ids of segments of prepared text."""
@@ -169,9 +169,10 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode_pieces(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, ids (array of int), n_tokens, n_differing (segments in which the libraries differ; those take sentencepiece's ids).
+    """doc_id, ids (array of int), n_tokens, n_differing (segments for which the sentencepiece library has other ids).
 
-    Defined results: null and empty texts have no ids; repeated rows are encoded each; other columns are not read.
+    Defined results: null and empty texts have no ids; whole texts of any length are encoded; repeated rows and rows without
+    an id are encoded each; other columns are not read, whatever their names; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,3 +202,21 @@ def decode_pieces(coded: DataFrame, model: str) -> DataFrame:
                                                  names=["doc_id", "n_tokens", "n_differing", "ids_crc32", "text"])
 
     return coded.mapInArrow(run, "doc_id long, n_tokens long, n_differing long, ids_crc32 long, text string")
+
+
+def code_pieces(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`decode_pieces` of `encode_pieces` in one pass, so a task has one Python worker and the ids stay in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(model)
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(i, AT_ONCE)
+                found = own.encode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
+                    pa.array([zlib.crc32(x) for x, _ in found], pa.int64()), pa.array([own.decode(np.frombuffer(x, dtype=np.int32)) for x, _ in found], pa.string())],
+                    names=["doc_id", "n_tokens", "n_differing", "ids_crc32", "text"])
+        own.known.clear()  # an idle worker holds no memory for the stages after this one
+
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_differing long, ids_crc32 long, text string")

@@ -120,13 +120,14 @@ def _repeats(texts: DataFrame, window: int, block: int, bits: int) -> DataFrame:
         for batch in batches:
             for mark, at, value in zip(*batch.columns):
                 data = value.as_py().encode("utf-8", "surrogatepass")
-                words = wordhash.word_hashes(data, *wordhash.word_spans(data))
+                spans = wordhash.word_spans(data)
+                words, others = (wordhash.word_hashes(data, *spans, which) for which in (0, 1))
                 last = len(words) - window
                 anchors = np.array(at.as_py(), dtype=np.int64)
                 start = np.unique(anchors[:, None] - np.arange(window - block + 1)[None, :])
                 start = start[(start >= 0) & (start <= last)]
                 rows = np.empty(len(start), dtype=kind)
-                rows["a"], rows["b"] = wordhash.run_hashes(words, window)[start], wordhash.run_hashes(words, window, _SECOND)[start]
+                rows["a"], rows["b"] = wordhash.run_hashes(words, window)[start], wordhash.run_hashes(others, window, _SECOND)[start]
                 rows["mark"], rows["start"] = np.frombuffer(mark.as_py(), dtype="V16")[0], start
                 parts.append(rows)
                 held += len(rows)
@@ -164,7 +165,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, window: int = 35) ->
     ids are not read; other columns pass, unless they are named n_words or n_removed; an empty table gives an empty one.
     """
     block = (window + 1) // 2
-    docs = docs.drop("n_words", "n_removed")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    docs = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # so no name clashes with one used here
+    text = f"c{names.index(text)}"
     columns = [c for c in docs.columns if c != text]
     bits = _bits(docs, text)
     anchors = _anchors(docs, text, block, bits).groupBy("mark").agg(F.collect_set("at").alias("_at"))
@@ -212,4 +215,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, window: int = 35) ->
     judged = hit.join(verdicts, F.col("_mark") == F.col("_m"), "left").select(*columns, "n_words", "_text", "_copied", "_starts")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema.fields)
     result = passed.unionByName(judged.mapInArrow(cut, kinds))
-    return result.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in docs.columns], "n_words", "n_removed")
+    return result.select(*[F.col("_text" if c == text else c).alias(name) for c, name in zip(docs.columns, names)], "n_words", "n_removed")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,10 @@ BLOCK = 4096
 _ENCODINGS: dict[tuple[str, str], object] = {}
 
 
+#: White space too long for the pattern.
+LONG_BLANK = regex.compile(r"\p{White_Space}{10000,}")
+
+
 def encoding(path: str, pattern: str):
     """One encoding per Python worker."""
     import tiktoken
@@ -30,13 +35,27 @@ def encoding(path: str, pattern: str):
     return _ENCODINGS[path, pattern]
 
 
+def encoded_length(own, text: str) -> int:
+    """Tokens of a text. A long run of white space is a piece of its own but for its last character (with all of it at the end
+    of the text); such runs are encoded as pieces, since the pattern's engine cannot take them, and the rest on its own."""
+    total, start = 0, 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(own.encode_ordinary(text[start:run.start()])) + len(own._encode_single_piece(text[run.start():end]))
+        start = end
+    return total + len(own.encode_ordinary(text[start:]))
+
+
 def token_lengths(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """(length, n): the histogram of encoded lengths of each batch. Null and empty texts have length 0."""
+    """(length, n): the histogram of encoded lengths of each batch. Null and empty texts have length 0.
+
+    Whole texts are encoded, of any length; the pattern must cut white space as the public one does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(ranks, pattern)
         for batch in batches:
-            lengths = pa.array([len(own.encode_ordinary(x.as_py() or "")) for x in batch.column(0)], pa.int64())
+            lengths = pa.array([encoded_length(own, x.as_py() or "") for x in batch.column(0)], pa.int64())
             counts = pc.value_counts(lengths)
             yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["length", "n"])
 
