@@ -217,6 +217,5 @@ def code_pieces(docs: DataFrame, model: str, text: str = "text", doc_id: str = "
                     part.column(0), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
                     pa.array([zlib.crc32(x) for x, _ in found], pa.int64()), pa.array([own.decode(np.frombuffer(x, dtype=np.int32)) for x, _ in found], pa.string())],
                     names=["doc_id", "n_tokens", "n_differing", "ids_crc32", "text"])
-        own.known.clear()  # an idle worker holds no memory for the stages after this one
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_differing long, ids_crc32 long, text string")
