@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlet.operators import (cleaning, clusters, cohorts, customers, describe, facts, filters, forecasting, hypothesis,
-                               metrics, quality, rfm, series, views)
+                               metrics, quality, rfm, series, stationarity, views)
 from martlet.plans import exports, measures, pages
 from martlet.plans.customer_pack import CUSTOMER_QUERIES, ntile_rfm
 from martlet.plans.marketing_pack import MARKETING_QUERIES
@@ -299,6 +299,10 @@ MARKET_REPORTS: dict[str, Job] = {
     "series_seasonality": lambda m: series.seasonality(_state_days(m)),
     "series_dickey_fuller": lambda m: series.dickey_fuller(series.regular(_state_months(m))),
     "series_kpss": lambda m: series.kpss(series.regular(_state_months(m))),
+    "series_adf_by_criterion": lambda m: stationarity.augmented_dickey_fuller(_state_months(m)),
+    "series_adf_one_lag": lambda m: stationarity.augmented_dickey_fuller(_state_months(m), 1),
+    "series_adf_two_lags": lambda m: stationarity.augmented_dickey_fuller(_state_months(m), 2),
+    "series_diagnosis": lambda m: stationarity.diagnosis(_state_days(m)),
     "forecast_baselines": lambda m: _rounded(forecasting.baselines(_month_split(m).where(~F.col("is_test")), 4), 4),
     "forecast_seasonal_naive": lambda m: _rounded(forecasting.seasonal_naive(
         series.split_tail(_state_days(m), 28).where(~F.col("is_test")), 28, 7), 4),

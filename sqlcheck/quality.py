@@ -192,6 +192,57 @@ g AS (SELECT a.state, sum((1 - k.k / (a.w + 1)) * a.e * b.e) AS g FROM s a, s b,
 t AS (SELECT s.state, any_value(c) AS n, sum(s.s * s.s) / (any_value(c) * any_value(c)) / ((sum(e * e) + 2 * any_value(g.g)) / any_value(c)) AS k FROM s JOIN g USING (state) GROUP BY s.state)""", """
 SELECT state AS series_id, n, round(k, 6) AS kpss_statistic, k < 0.463 AS level_stationary FROM t""")
 
+
+# Augmented Dickey-Fuller by Gaussian elimination: terms are constant, then either level and lags or lags and level, last the difference.
+def _adf(source: str, clock: str, top: str) -> str:
+    return f"""vx AS (SELECT state, row_number() OVER (PARTITION BY state ORDER BY {clock}) AS i, count(*) OVER (PARTITION BY state) AS c,
+  v - avg(v) OVER (PARTITION BY state) AS x FROM {source}),
+va AS (SELECT state, any_value(c) AS c, list(x ORDER BY i) AS x, CAST({top} AS BIGINT) AS top FROM vx GROUP BY state HAVING any_value(c) >= 4),
+vd AS (SELECT *, list_transform(range(1, c), lambda i: x[i + 1] - x[i]) AS d FROM va),
+lv AS (SELECT state, c, top, t.t, list_concat([1.0, x[t.t]], list_transform(range(1, top + 1), lambda k: d[t.t - k]), [d[t.t]]) AS z FROM vd, LATERAL (SELECT unnest(range(top + 1, c)) AS t) t),
+gl AS (SELECT state, a.a, b.b, sum(z[a.a] * z[b.b]) AS g FROM lv, LATERAL (SELECT unnest(range(1, top + 4)) AS a) a, LATERAL (SELECT unnest(range(1, top + 4)) AS b) b GROUP BY ALL),
+gr AS (SELECT state, a, list(g ORDER BY b) AS g FROM gl GROUP BY ALL),
+gm AS (SELECT state, list(g ORDER BY a) AS m, count(*) AS w FROM gr GROUP BY state)"""
+
+
+_ADF_STEP = """SELECT state, k + 1, w, list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j:
+  CASE WHEN i > k + 1 THEN m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] ELSE m[i][j] END))"""
+_ADF_SEARCH = """el AS (SELECT state, 0 AS k, w, m FROM gm UNION ALL """ + _ADF_STEP + """ FROM el WHERE k < w - 1),
+ic AS (SELECT el.state, CAST(k - 2 AS BIGINT) AS p, (c - 1 - top) * ln(m[w][w] / (c - 1 - top)) + 2 * k AS score FROM el JOIN vd USING (state) WHERE k >= 2),
+op AS (SELECT state, arg_min(p, (score, p)) AS p FROM ic GROUP BY state)"""
+_ADF_FINAL = """fz AS (SELECT state, c, p, list_concat([1.0], list_transform(range(1, p + 1), lambda k: d[t.t - k]), [x[t.t], d[t.t]]) AS z
+  FROM vd JOIN op USING (state), LATERAL (SELECT unnest(range(p + 1, c)) AS t) t),
+fg AS (SELECT state, a.a, b.b, sum(z[a.a] * z[b.b]) AS g FROM fz, LATERAL (SELECT unnest(range(1, p + 4)) AS a) a, LATERAL (SELECT unnest(range(1, p + 4)) AS b) b GROUP BY ALL),
+fr AS (SELECT state, a, list(g ORDER BY b) AS g FROM fg GROUP BY ALL),
+fm AS (SELECT state, list(g ORDER BY a) AS m, count(*) AS w FROM fr GROUP BY state),
+fe AS (SELECT state, 0 AS k, w, m FROM fm UNION ALL """ + _ADF_STEP + """ FROM fe WHERE k < w - 2),
+ft AS (SELECT state, m[w - 1][w] / m[w - 1][w - 1] AS b, m[w - 1][w - 1] AS ll, m[w][w] - m[w - 1][w] * m[w - 1][w] / m[w - 1][w - 1] AS sse FROM fe WHERE k = w - 2),
+tt AS (SELECT state, c AS n, p AS lags, c - 1 - p AS nobs, b / sqrt(sse / (c - 1 - p - p - 2) / ll) AS t FROM ft JOIN op USING (state) JOIN vd USING (state)),
+az AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659 + t * (1.4412 + t * 0.038269) ELSE 1.7339 + t * (0.93202 + t * (-0.12745 + t * -0.010368)) END AS z FROM tt),
+ap AS (SELECT *, CASE WHEN t > 2.74 THEN 1 WHEN t < -18.83 THEN 0 WHEN z <= -9 THEN 0 WHEN z >= 9 THEN 1 ELSE 0.5 + z / 12000 / sqrt(2 * pi()) * list_sum(list_transform(range(4001),
+  lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 4000, 2) / 2))) END AS p FROM az)"""
+_ADF_OUT = """SELECT state AS series_id, n, lags, nobs, round(t, 6) AS adf_statistic, round(p, 6) AS p_value,
+  round(-2.86154 - 2.8903 / nobs - 4.234 / (nobs * nobs) - 40.04 / (CAST(nobs AS DOUBLE) * nobs * nobs), 6) AS critical_5_pct, p < 0.05 AS stationary FROM ap"""
+_ADF_TOP = "least(floor(any_value(c) / 2) - 2, ceil(12 * pow(any_value(c) / 100.0, 0.25)))"
+S["series_adf_by_criterion"] = q(MONTHS, _adf("mr", "mo", _ADF_TOP), _ADF_SEARCH, _ADF_FINAL, _ADF_OUT).replace("WITH ", "WITH RECURSIVE ", 1)
+for _name, _lags in (("one_lag", 1), ("two_lags", 2)):
+    S[f"series_adf_{_name}"] = q(MONTHS, _adf("mr", "mo", str(_lags)), f"op AS (SELECT state, CAST({_lags} AS BIGINT) AS p FROM vd)", _ADF_FINAL, _ADF_OUT).replace("WITH ", "WITH RECURSIVE ", 1)
+S["series_diagnosis"] = q(DAYS, _adf("dy", "day", _ADF_TOP), _ADF_SEARCH, _ADF_FINAL, _ACF, """
+ke AS (SELECT state, c, list(v - m ORDER BY day) AS e FROM (SELECT state, day, v, avg(v) OVER (PARTITION BY state) AS m, count(*) OVER (PARTITION BY state) AS c FROM dy) GROUP BY ALL),
+kb AS (SELECT state, k.k, sum(e[t.t] * e[t.t - k.k]) AS g FROM ke, LATERAL (SELECT unnest(range(0, 200)) AS k) k, LATERAL (SELECT unnest(range(k.k + 1, c + 1)) AS t) t WHERE k.k < c GROUP BY ALL),
+kw AS (SELECT state, any_value(c) AS c, sum(k * g) FILTER (k > 0) / (any_value(c) / 2) / (max(g) FILTER (k = 0) / any_value(c) + sum(g) FILTER (k > 0) / (any_value(c) / 2)) AS r
+  FROM kb JOIN ke USING (state) WHERE k <= floor(pow(c, 2.0 / 9.0)) GROUP BY state),
+kl AS (SELECT state, c, CAST(least(floor(1.1447 * pow(r * r, 1.0 / 3.0) * pow(c, 1.0 / 3.0)), c - 1) AS BIGINT) AS l FROM kw),
+kv AS (SELECT state, any_value(c) AS c, any_value(l) AS l, sum(CASE WHEN k = 0 THEN 1 ELSE 2 * (1 - k / (l + 1.0)) END * g) / any_value(c) AS lrv FROM kb JOIN kl USING (state) WHERE k <= l GROUP BY state),
+kr AS (SELECT state, sum(s * s) AS ss FROM (SELECT state, sum(v - m) OVER (PARTITION BY state ORDER BY day) AS s FROM (SELECT state, day, v, avg(v) OVER (PARTITION BY state) AS m FROM dy)) GROUP BY state),
+ks AS (SELECT state, l, ss / (CAST(c AS DOUBLE) * c) / lrv AS k FROM kv JOIN kr USING (state)),
+kp AS (SELECT *, CASE WHEN k <= 0.347 THEN 0.10 WHEN k <= 0.463 THEN 0.10 + (k - 0.347) * (0.05 - 0.10) / (0.463 - 0.347) WHEN k <= 0.574 THEN 0.05 + (k - 0.463) * (0.025 - 0.05) / (0.574 - 0.463)
+  WHEN k <= 0.739 THEN 0.025 + (k - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END AS kpp FROM ks),
+sz AS (SELECT state, avg(r) FILTER (lag % 7 = 0 AND lag <= 28) AS a, avg(abs(r)) FILTER (lag % 7 <> 0) AS f FROM acf WHERE lag <= least(30, n - 2) AND n + 1 > 28 GROUP BY state)""", """
+SELECT ap.state AS series_id, ap.n, lags, round(t, 6) AS adf_statistic, round(p, 6) AS adf_p_value, p < 0.05 AS stationary, l AS kpss_lags, round(k, 6) AS kpss_statistic, round(kpp, 6) AS kpss_p_value,
+  CASE WHEN kpp >= 0.10 THEN '>' WHEN kpp <= 0.01 THEN '<' END AS kpss_bound, p < 0.05 AND kpp < 0.05 AS tests_disagree, round(a, 6) AS acf_at_period, round(f, 6) AS abs_acf_elsewhere,
+  CASE WHEN a > 3 * f THEN CAST(7 AS BIGINT) END AS seasonal_period FROM ap JOIN kp USING (state) LEFT JOIN sz USING (state)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 # ---------------------------------------------------------------- forecasts
 TRAIN = MONTHS + ", tr AS (SELECT state, mo, v, i, c - 4 AS n FROM mr WHERE i <= c - 4), te AS (SELECT state, i - (c - 4) AS step, v FROM mr WHERE i > c - 4)"
 _BASE_F = """en AS (SELECT state, max(n) AS n, avg(v) AS mean, arg_max(v, i) AS last, arg_min(v, i) AS first, avg(v) FILTER (i > n - 3) AS last3 FROM tr GROUP BY state),
