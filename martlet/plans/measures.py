@@ -18,13 +18,17 @@ from martlet.functions.windows import everything
 from martlet.operators.metrics import _median
 
 
-def _orders_where(cond: Column) -> Column:
-    return F.countDistinct(F.when(cond, F.col("order_id")))
+def order_measures(defs: Definitions = Definitions(), one_row_per_order: bool = False) -> dict[str, Column]:
+    """Measures of the order fact (the median and month-on-month measures are frame functions).
 
+    Orders are counted distinctly, so the fact may be joined to lines; ``one_row_per_order`` says that it is not, and rows
+    are counted in place of ids.
+    """
+    known = F.col("order_id").isNotNull()
 
-def order_measures(defs: Definitions = Definitions()) -> dict[str, Column]:
-    """Measures of the order fact (the median and month-on-month measures are frame functions)."""
-    revenue, orders = total("revenue"), F.countDistinct("order_id")
+    def _orders_where(cond: Column) -> Column:
+        return F.count_if(cond & known) if one_row_per_order else F.countDistinct(F.when(cond, F.col("order_id")))
+    revenue, orders = total("revenue"), _orders_where(known)
     card = F.col("payment_type") == defs.instalment_payment
     return {
         "Total Revenue": revenue,
@@ -77,9 +81,9 @@ def forecast_measures() -> dict[str, Column]:
             "Forecast Upper 95": F.sum("upper_95")}
 
 
-def measure_registry(defs: Definitions = Definitions()) -> dict[str, dict[str, Column]]:
+def measure_registry(defs: Definitions = Definitions(), one_row_per_order: bool = False) -> dict[str, dict[str, Column]]:
     """Table -> measure -> aggregate expression."""
-    return {"fact_orders": order_measures(defs), "fact_order_items": item_measures(),
+    return {"fact_orders": order_measures(defs, one_row_per_order), "fact_order_items": item_measures(),
             "dim_customers_segmented": customer_measures(), "fact_cohort_retention": retention_measures(),
             "dim_cohort_summary": cohort_measures(), "dim_category_performance": category_measures(),
             "fact_revenue_forecast": forecast_measures()}

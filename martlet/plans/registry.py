@@ -317,15 +317,22 @@ MARKET_REPORTS: dict[str, Job] = {
 }
 
 
-def _page(name: str, dataset: str, *wanted: str, sliced: Callable[[], Column] | None = None) -> Job:
-    """One page dataset over the export tables it reads."""
+def _page(name: str, dataset: str | None, *wanted: str, sliced: Callable[[], Column] | None = None, only: tuple[str, ...] | None = None) -> Job:
+    """One page dataset, or the charts of a page (all or ``only`` some), over the export tables it reads."""
     def job(m: Market) -> DataFrame:
         makers = {"fact_orders": lambda: fact_orders(m), "fact_order_items": lambda: fact_order_items(m),
                   "dim_customers_segmented": lambda: _dim(m),
                   "dim_category_performance": lambda: exports.dim_category(fact_order_items(m), m.defs),
                   "dim_product_performance": lambda: exports.dim_product(fact_order_items(m)),
-                  "dim_region_performance": lambda: metrics.region_scorecard(fact_orders(m))}
-        tables = {t: makers[t]() for t in wanted}
+                  "dim_region_performance": lambda: metrics.region_scorecard(fact_orders(m)),
+                  "dim_seller_performance": lambda: exports.dim_seller(fact_order_items(m), fact_orders(m)),
+                  "fact_cohort_retention": lambda: exports.fact_cohort_retention(fact_orders(m)),
+                  "dim_cohort_summary": lambda: exports.dim_cohort_summary(fact_orders(m), m.defs),
+                  "fact_revenue_forecast": lambda: exports.fact_revenue_forecast(fact_orders(m)),
+                  "dim_forecast_model_comparison": lambda: exports.dim_forecast_models(fact_orders(m))}
+        tables = {t: makers[t]() for t in wanted} | ({"dim_customers_segmented": _dim_clustered(m)} if dataset == "revenue_by_cluster" else {})
+        if dataset is None:
+            return _rounded(pages.page_rows(name, tables, m.defs, {"fact_orders": sliced()} if sliced else None, only), 4)
         return _rounded(pages.PAGES[name][dataset](tables, sliced() if sliced else None, m.defs), 4)
     return job
 
@@ -343,6 +350,17 @@ MARKET_REPORTS |= {
     "page_products_price_and_volume": _page("products", "price_and_volume", "dim_category_performance", "fact_order_items"),
     "page_products_best": _page("products", "best_products", "dim_product_performance"),
     "page_marketing_payments": _page("marketing", "revenue_by_payment", "fact_orders", sliced=_slice),
+    "page_overview": _page("overview", None, "fact_orders", "fact_order_items", sliced=_slice),
+    "page_customers": _page("customers", None, "dim_customers_segmented", "fact_cohort_retention", "dim_cohort_summary",
+                            only=("cards", "revenue_by_rfm", "retention", "fair_cohorts")),
+    "page_customers_clusters": _page("customers", "revenue_by_cluster"),
+    "page_products": _page("products", None, "fact_order_items", "dim_category_performance"),
+    "page_marketing": _page("marketing", None, "fact_orders", sliced=_slice),
+    "page_marketing_states": _page("marketing", "states", "dim_region_performance"),
+    "page_marketing_sellers": _page("marketing", "sellers", "dim_seller_performance"),
+    "page_forecast": _page("forecast", None, "fact_revenue_forecast"),
+    "page_forecast_cards": _page("forecast", "cards", "fact_revenue_forecast"),
+    "page_forecast_models": _page("forecast", "models", "dim_forecast_model_comparison"),
 }
 
 

@@ -1,7 +1,8 @@
 """Item, product and category metrics, exports, measures and tests."""
 
 from sqlcheck.base import F2, even_share, q
-from sqlcheck.facts import _CURVE, _FILTER, BASE, COH, DIM, FIRST, _money, _share
+from sqlcheck.facts import S as FACTS
+from sqlcheck.facts import _CURVE, _FILTER, _REGION, BASE, COH, DIM, FIRST, _money, _share
 
 S: dict[str, str] = {}
 
@@ -278,3 +279,37 @@ S["page_products_price_and_volume"] = q(F2, """SELECT category, count(*) AS "Cat
 S["page_products_best"] = q(f"x AS ({S['export_dim_product']})", """SELECT revenue_rank, category, units, avg_item_price, revenue, cumulative_pct_of_revenue
 FROM x ORDER BY revenue_rank""")
 S["page_marketing_payments"] = q(BASE, _FILTER, """SELECT kind AS payment_type, CAST(sum(rev) AS DOUBLE) AS "Total Revenue" FROM o2 GROUP BY kind""")
+
+
+def _long(dataset: str, axis: str | None, source: str, **values: str) -> str:
+    """Measures by axis as (dataset, axis_value, measure, value)."""
+    by, group = (f"CAST({axis} AS VARCHAR)", f" GROUP BY {axis}") if axis else ("CAST(NULL AS VARCHAR)", "")
+    return " UNION ALL ".join(f"SELECT '{dataset}' AS dataset, {by} AS axis_value, '{name}' AS measure, round(CAST({value} AS DOUBLE), 4) AS value FROM {source}{group}"
+                              for name, value in values.items())
+
+
+_LATE = "count(*) FILTER (late) / CAST(count(*) AS DOUBLE)"
+_ORDER_CARDS = {"Total Revenue": "sum(rev)", "AOV (Mean)": "CAST(sum(rev) AS DOUBLE) / count(*)", "Late Rate %": _LATE, "Avg Review Score": "avg(score)"}
+S["page_overview"] = q(BASE, _FILTER, "i2 AS (SELECT category, rev FROM f2 WHERE oid IN (SELECT oid FROM o2))", " UNION ALL ".join([
+    _long("cards", None, "o2", **_ORDER_CARDS, **{"Orders": "count(*)", "Customers": "count(DISTINCT who)", "One-Star Rate %": "count(*) FILTER (score = 1) / CAST(count(score) AS DOUBLE)"}),
+    _long("monthly_trend", "month", "o2", **{"Revenue (Trend)": "sum(rev) FILTER (NOT cut)"}),
+    _long("revenue_by_state", "state", "o2", **{"Total Revenue": "sum(rev)"}),
+    _long("revenue_by_category", "category", "i2", **{"Item Revenue": "sum(rev)"})]))
+S["page_marketing"] = q(BASE, _FILTER, " UNION ALL ".join([
+    _long("cards", None, "o2", **_ORDER_CARDS), _long("revenue_by_payment", "kind", "o2", **{"Total Revenue": "sum(rev)"}),
+    _long("value_by_instalments", "CAST(max_inst AS BIGINT)", "o2", **{"AOV (Credit Card)": "CAST(sum(rev) FILTER (kind = 'credit_card') AS DOUBLE) / nullif(count(*) FILTER (kind = 'credit_card'), 0)"})]))
+S["page_products"] = q(F2, f"x AS ({S['export_dim_category']})", " UNION ALL ".join([
+    _long("cards", None, "f2", **{"Item Revenue": "sum(rev)", "Products Sold": "count(DISTINCT pid)", "Items Sold": "count(*)", "Avg Item Price": "CAST(sum(rev) AS DOUBLE) / count(*)"}),
+    _long("momentum", "category", "x", **{"Category Momentum": "sum(momentum_change_brl)"}),
+    _long("price_and_volume", "category", "x", **{"Category Units": "sum(units)", "Category Avg Price": "avg(avg_item_price)"}),
+    _long("price_and_volume", "category", "f2", **{"Item Revenue": "sum(rev)"})]))
+S["page_customers"] = q(f"c AS ({FACTS['export_dim_customers']}), r AS ({FACTS['retention_matrix']}), s AS ({FACTS['cohort_summary']})", " UNION ALL ".join([
+    _long("cards", None, "c", **{"Segment Customers": "count(*)", "Repeat Rate %": "count(*) FILTER (is_repeat_customer) / CAST(count(*) AS DOUBLE)",
+                                 "Repeat Customers": "count(*) FILTER (is_repeat_customer)", "Avg Customer Value": "CAST(sum(monetary_revenue) AS DOUBLE) / count(*)"}),
+    _long("revenue_by_rfm", "rfm_segment", "c", **{"Segment Revenue": "sum(monetary_revenue)"}),
+    _long("retention", "age", "r", **{"Retention % After Month 0": "avg(retention_pct) FILTER (age > 0) / 100"}),
+    _long("fair_cohorts", "cohort_month", "s", **{"3-Month Repeat Rate %": "avg(repeat_rate_3mo_pct) / 100"})]))
+S["page_marketing_states"] = q(BASE, _REGION, """SELECT customer_state, orders, round(aov, 4) AS aov, round(avg_delivery_days, 4) AS avg_delivery_days,
+  round(late_rate_pct, 4) AS late_rate_pct, round(avg_review_score, 4) AS avg_review_score FROM reg""")
+S["page_marketing_sellers"] = f"""SELECT seller_id, seller_state, orders_n, round(revenue, 4) AS revenue, round(late_rate_pct, 4) AS late_rate_pct,
+  round(avg_review_score, 4) AS avg_review_score FROM ({S['export_dim_seller']})"""

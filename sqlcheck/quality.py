@@ -473,3 +473,7 @@ d2 AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) A
 d3 AS (SELECT 'all' AS state, day AS mo, coalesce(v, 0) AS v, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS c FROM d2 LEFT JOIN d1 USING (day)),
 tr AS (SELECT state, mo, v, i, c - 28 AS n FROM d3 WHERE i <= c - 28), te AS (SELECT state, i - (c - 28) AS step, v FROM d3 WHERE i > c - 28)"""
 S["forecast_ladder_daily"] = ladder(_DAY_ALL, holt_rows(28, 7), 28, "SELECT state, step, 'Seasonal naive (7)', v FROM tr, range(1, 29) s(step) WHERE i = n - 7 + (step - 1) % 7 + 1 UNION ALL ")
+S["page_forecast"] = " UNION ALL ".join(f"""SELECT 'history_and_forecast' AS dataset, period_label AS axis_value, '{name}' AS measure, round("{name}", 4) AS value
+  FROM ({S['measures_forecast']})""" for name in ("Actual Revenue", "Forecast Revenue", "Forecast Lower 95", "Forecast Upper 95"))
+S["page_forecast_cards"] = S["measure_next_month"]
+S["page_forecast_models"] = f"SELECT model, MAE, RMSE, MAPE_pct, vs_naive_pct FROM ({S['export_forecast_models']})"
