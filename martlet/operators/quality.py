@@ -12,6 +12,7 @@ from martlet.config import Definitions
 from martlet.functions import calendar as cal
 from martlet.functions.numbers import big, cents, pct, scalar, total
 from martlet.functions.windows import everything
+from martlet.operators import audits
 from martlet.operators.ordered import exact_quantiles
 
 
@@ -65,25 +66,19 @@ def missing_values(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def duplicates(tables: Mapping[str, DataFrame], grain: Mapping[str, Sequence[str] | None]) -> DataFrame:
-    """Surplus rows that repeat a whole row, and that repeat the declared key.
+    """Surplus rows that repeat a whole row, and that repeat the declared key: one scan a table for both.
 
-    Groups are counted on all columns (combined map-side), so repeated rows cost one row per task.
+    Groups are combined map-side, so repeated rows cost one row per task.
     """
     frames = []
     for name, df in tables.items():
-        whole = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
-        exact = whole.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-                          F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("exact_dup_rows"))
         key = grain.get(name)
-        if key:
-            on_key = scalar(df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).agg(
-                F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("surplus")), "surplus")["surplus"]
-        else:
-            on_key = F.lit(None)
-        frames.append(exact.select(
-            F.lit(name).alias("table"), big("rows").alias("rows"), big("exact_dup_rows").alias("exact_dup_rows"),
-            F.round(pct("exact_dup_rows", "rows"), 2).alias("exact_dup_pct"),
-            F.lit(", ".join(key) if key else "(none)").alias("declared_grain"), on_key.cast("bigint").alias("dup_on_grain")))
+        found = audits.Audit(df, {"rows": audits.rows()}, {"whole": df.columns} | ({"grain": key} if key else {})).row()
+        exact = F.col("`whole.surplus`")
+        frames.append(found.select(
+            F.lit(name).alias("table"), big("rows").alias("rows"), exact.cast("bigint").alias("exact_dup_rows"),
+            F.round(pct(exact, "rows"), 2).alias("exact_dup_pct"), F.lit(", ".join(key) if key else "(none)").alias("declared_grain"),
+            (F.col("`grain.surplus`") if key else F.lit(None)).cast("bigint").alias("dup_on_grain")))
     return _stack(frames)
 
 
@@ -101,16 +96,17 @@ def key_conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def date_coverage(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Range, missing and unreadable values of date columns."""
+    """Range, missing and unreadable values of date columns: one aggregation per table."""
     frames = []
     for name, names in columns.items():
-        df = tables[name]
-        for c in names:
+        df, figures, cells = tables[name], [], []
+        for i, c in enumerate(names):
             parsed = cal.parse_ts(c, df.schema[c].dataType.simpleString()).cast("timestamp_ntz")
-            frames.append(df.agg(
-                F.min(parsed).alias("min"), F.max(parsed).alias("max"), F.count_if(F.col(c).isNull()).alias("null"),
-                F.count_if(F.col(c).isNotNull() & parsed.isNull()).alias("unparseable"),
-            ).select(F.lit(name).alias("table"), F.lit(c).alias("column"), "min", "max", F.col("null").alias("missing"), "unparseable"))
+            taken = {"min": F.min(parsed), "max": F.max(parsed), "missing": F.count_if(F.col(c).isNull()),
+                     "unparseable": F.count_if(F.col(c).isNotNull() & parsed.isNull())}
+            figures += [f.alias(f"{n}_{i}") for n, f in taken.items()]
+            cells.append(F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in taken]))
+        frames.append(df.agg(*figures).select(F.inline(F.array(*cells))))
     return _stack(frames)
 
 
@@ -251,46 +247,42 @@ def delivery_clusters(orders: DataFrame, times: float = 1.5) -> DataFrame:
 def validation_checks(raw: Mapping[str, DataFrame], orders: DataFrame, items: DataFrame, customers: DataFrame,
                       reviews: DataFrame, item_fact: DataFrame, order_fact: DataFrame,
                       points: DataFrame) -> DataFrame:
-    """Twelve checks after cleaning: one row each with PASS or FAIL and the figures compared."""
-    def rows(df: DataFrame) -> Column:
-        return scalar(df.agg(F.count(F.lit(1)).alias("v")), "v")["v"]
-
-    def amount(df: DataFrame, c: str) -> Column:
-        return scalar(df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("v")), "v")["v"]
-
-    def surplus(df: DataFrame, key: str) -> Column:
-        groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return scalar(groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v")), "v")["v"]
-
-    def bad(df: DataFrame, cond: Column) -> Column:
-        return scalar(df.agg(F.count_if(cond).alias("v")), "v")["v"]
-
-    def people(df: DataFrame) -> Column:
-        return scalar(df.agg(F.countDistinct("customer_unique_id").alias("v")), "v")["v"]
+    """Twelve checks after cleaning: one row each with PASS or FAIL and the figures compared.
 
+    Each table is read once for all its figures, those of its key included.
+    """
     stages = ["approval_days", "carrier_days", "shipping_days", "delivery_days"]
     negative = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) < 0, F.lit(False)) for c in stages])
-    zero = F.lit(0)
+    person, rows, count_where, amount = {"person": ["customer_unique_id"]}, audits.rows, audits.count_where, audits.amount
+    planned = {
+        "raw lines": audits.Audit(raw["order_items"], {"rows": rows(), "price": amount("price")}),
+        "raw orders": audits.Audit(raw["orders"], {"rows": rows()}),
+        "raw customers": audits.Audit(raw["customers"], keys=person),
+        "lines": audits.Audit(item_fact, {"rows": rows(), "revenue": amount("revenue"),
+                                          "unnamed": count_where(F.col("product_category_name_english").isNull())}),
+        "fact": audits.Audit(order_fact, {"rows": rows(), "revenue": amount("order_revenue"),
+                                          "unknown": count_where(F.col("customer_unique_id").isNull())}, {"order": ["order_id"]}),
+        "orders": audits.Audit(orders, {"negative": count_where(negative)}),
+        "items": audits.Audit(items, {"free": count_where(F.col("price") <= 0)}),
+        "customers": audits.Audit(customers, keys=person),
+        "reviews": audits.Audit(reviews, keys={"order": ["order_id"]}),
+        "points": audits.Audit(points, keys={"zip": ["geolocation_zip_code_prefix"]}),
+    }
     # The check list.
-    checks = [
-        ("No row inflation in item fact table", rows(item_fact), rows(raw["order_items"])),
-        ("No row inflation in order fact table", rows(order_fact), rows(raw["orders"])),
-        ("order_id is unique in fct_orders", surplus(order_fact, "order_id"), zero),
-        ("Revenue preserved exactly (item grain)", amount(item_fact, "revenue"), amount(raw["order_items"], "price")),
-        ("Revenue preserved exactly (order grain)", amount(order_fact, "order_revenue"), amount(raw["order_items"], "price")),
-        ("Every order has a customer_unique_id", bad(order_fact, F.col("customer_unique_id").isNull()), zero),
-        ("Every item line has an English category", bad(item_fact, F.col("product_category_name_english").isNull()), zero),
-        ("One review per order", surplus(reviews, "order_id"), zero),
-        ("One geolocation row per zip prefix", surplus(points, "geolocation_zip_code_prefix"), zero),
-        ("No negative stage durations remain", bad(orders, negative), zero),
-        ("No negative or zero prices", bad(items, F.col("price") <= 0), zero),
-        ("Customer count unchanged", people(customers), people(raw["customers"])),
-    ]
-    spark = orders.sparkSession
-    frames = [spark.range(1).select(
-        F.lit(name).alias("check"), F.when(got == want, "PASS").otherwise("FAIL").alias("result"),
-        F.concat(got.cast("string"), F.lit(" == "), want.cast("string")).alias("detail")) for name, got, want in checks]
-    return _stack(frames)
+    return audits.compare(planned, [
+        ("No row inflation in item fact table", ("lines", "rows"), ("raw lines", "rows")),
+        ("No row inflation in order fact table", ("fact", "rows"), ("raw orders", "rows")),
+        ("order_id is unique in fct_orders", ("fact", "order.surplus"), 0),
+        ("Revenue preserved exactly (item grain)", ("lines", "revenue"), ("raw lines", "price")),
+        ("Revenue preserved exactly (order grain)", ("fact", "revenue"), ("raw lines", "price")),
+        ("Every order has a customer_unique_id", ("fact", "unknown"), 0),
+        ("Every item line has an English category", ("lines", "unnamed"), 0),
+        ("One review per order", ("reviews", "order.surplus"), 0),
+        ("One geolocation row per zip prefix", ("points", "zip.surplus"), 0),
+        ("No negative stage durations remain", ("orders", "negative"), 0),
+        ("No negative or zero prices", ("items", "free"), 0),
+        ("Customer count unchanged", ("customers", "person.distinct"), ("raw customers", "person.distinct")),
+    ])
 
 
 def require_passed(checks: DataFrame) -> None:
