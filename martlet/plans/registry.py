@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from martlet.operators import (cleaning, clusters, cohorts, customers, describe, facts, filters, forecasting, hypothesis,
                                metrics, quality, rfm, series, stationarity, views)
-from martlet.plans import exports, measures, pages
+from martlet.plans import contexts, exports, measures, pages
 from martlet.plans.customer_pack import CUSTOMER_QUERIES, ntile_rfm
 from martlet.plans.marketing_pack import MARKETING_QUERIES
 from martlet.plans.product_pack import PRODUCT_QUERIES
@@ -364,6 +364,28 @@ MARKET_REPORTS |= {
 }
 
 
+def _context(table: str, make: Callable[[Market], DataFrame], *axes: tuple[str, ...], slicers: Callable[[], dict[str, Column]] = dict, digits: int = 6) -> Job:
+    """All measures of a table under several axes."""
+    return lambda m: _rounded(contexts.evaluate(make(m), axes, contexts.measures_of(m.defs)[table], slicers()), digits)
+
+
+MARKET_REPORTS |= {
+    "context_orders": _context("fact_orders", fact_orders, ("order_month",), ("customer_state",), ("payment_type",), ()),
+    "context_orders_sliced": _context("fact_orders", fact_orders, ("order_month",), ("customer_state",), (), slicers=lambda: {
+        "order_month": F.col("order_month").between("1997-03", "1998-10"), "payment_type": F.col("payment_type").isin("credit_card", "boleto")}),
+    "context_order_medians": lambda m: _rounded(contexts.medians(fact_orders(m), ("order_month", "customer_state", "payment_type"), "revenue", "AOV (Median)")),
+    "context_items": _context("fact_order_items", fact_order_items, ("category",), ("seller_state",), ("customer_state",)),
+    "context_customers": _context("dim_customers_segmented", _dim, ("rfm_segment",), ("risk_tier",), ("customer_state",), ("rfm_segment", "risk_tier")),
+    "context_customers_sliced": _context("dim_customers_segmented", _dim, ("rfm_segment",), ("risk_tier",), (), slicers=lambda: {
+        "risk_tier": F.col("risk_tier").startswith("3")}),
+    "context_retention": _context("fact_cohort_retention", lambda m: exports.fact_cohort_retention(fact_orders(m)),
+                                  ("months_since_first_purchase",), ("cohort_month",), (), digits=12),
+    "context_cohorts": _context("dim_cohort_summary", lambda m: exports.dim_cohort_summary(fact_orders(m), m.defs), ("cohort_month",), ()),
+    "context_categories": _context("dim_category_performance", lambda m: exports.dim_category(fact_order_items(m), m.defs), ("category",), ()),
+    "context_forecast": _context("fact_revenue_forecast", lambda m: exports.fact_revenue_forecast(fact_orders(m)), ("period_label",), ("type",), ()),
+}
+
+
 def _raw_checks(t: dict[str, DataFrame]) -> DataFrame:
     return quality.orphans({
         "orders.customer_id -> customers": (t["orders"], "customer_id", t["customers"], "customer_id"),

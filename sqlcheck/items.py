@@ -313,3 +313,59 @@ S["page_marketing_states"] = q(BASE, _REGION, """SELECT customer_state, orders,
   round(late_rate_pct, 4) AS late_rate_pct, round(avg_review_score, 4) AS avg_review_score FROM reg""")
 S["page_marketing_sellers"] = f"""SELECT seller_id, seller_state, orders_n, round(revenue, 4) AS revenue, round(late_rate_pct, 4) AS late_rate_pct,
   round(avg_review_score, 4) AS avg_review_score FROM ({S['export_dim_seller']})"""
+
+
+# ---------------------------------------------------------------- measures in context
+def by_axes(measures: dict[str, str], source: str, axes: tuple, digits: int = 6) -> str:
+    """Measures by several axes as (axis, axis_value, measure, value); an axis is (name, expression) or None for all rows."""
+    out = []
+    for axis in axes:
+        name, by, group = (axis[0], f"CAST({axis[1]} AS VARCHAR)", f" GROUP BY {axis[1]}") if axis else ("", "CAST(NULL AS VARCHAR)", "")
+        out += [f"SELECT '{name}' AS axis, {by} AS axis_value, '{m}' AS measure, round(CAST({v} AS DOUBLE), {digits}) AS value FROM {source}{group}" for m, v in measures.items()]
+    return " UNION ALL ".join(out)
+
+
+_ORDER_VALUES = {
+    "Total Revenue": "sum(rev)", "Revenue (Trend)": "sum(rev) FILTER (NOT cut)", "Total Freight": "sum(frt)", "Freight % of Revenue": "CAST(sum(frt) AS DOUBLE) / CAST(sum(rev) AS DOUBLE)",
+    "Orders": "count(*)", "Customers": "count(DISTINCT who)", "AOV (Mean)": "CAST(sum(rev) AS DOUBLE) / count(*)",
+    "AOV (Credit Card)": "CAST(sum(rev) FILTER (kind = 'credit_card') AS DOUBLE) / nullif(count(*) FILTER (kind = 'credit_card'), 0)",
+    "Multi-Item Order %": "count(*) FILTER (n_items > 1) / CAST(count(*) AS DOUBLE)", "Late Rate %": _LATE, "Avg Delivery Days": "avg(days)", "Avg Review Score": "avg(score)",
+    "One-Star Rate %": "count(*) FILTER (score = 1) / nullif(CAST(count(score) AS DOUBLE), 0)"}
+
+
+def _mom(source: str, shown: str) -> str:
+    """Month on month over `source`, for the months of `shown`."""
+    return f"""SELECT 'order_month' AS axis, a.month AS axis_value, 'Revenue MoM %' AS measure,
+  CASE WHEN a.partial = 0 THEN round((a.trend - b.trend) / nullif(b.trend, 0), 6) END AS value
+FROM (SELECT month, CAST(sum(rev) FILTER (NOT cut) AS DOUBLE) AS trend, count(*) FILTER (cut) AS partial FROM {shown} GROUP BY month) a
+LEFT JOIN (SELECT strftime(strptime(month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') AS month, CAST(sum(rev) FILTER (NOT cut) AS DOUBLE) AS trend
+  FROM {source} GROUP BY month) b USING (month)"""
+
+
+def _no_mom(name: str, by: str, source: str) -> str:
+    values = f"SELECT DISTINCT {by} AS v FROM {source}" if by else "SELECT NULL AS v"
+    return f"SELECT '{name}' AS axis, CAST(v AS VARCHAR) AS axis_value, 'Revenue MoM %' AS measure, CAST(NULL AS DOUBLE) AS value FROM ({values})"
+
+
+S["context_orders"] = q(BASE, " UNION ALL ".join([
+    by_axes(_ORDER_VALUES, "o", (("order_month", "month"), ("customer_state", "state"), ("payment_type", "kind"), None)), _mom("o", "o"),
+    _no_mom("customer_state", "state", "o"), _no_mom("payment_type", "kind", "o"), _no_mom("", "", "o")]))
+S["context_orders_sliced"] = q(BASE, "p AS (SELECT * FROM o WHERE kind IN ('credit_card', 'boleto'))", "s AS (SELECT * FROM p WHERE month BETWEEN '1997-03' AND '1998-10')", " UNION ALL ".join([
+    by_axes(_ORDER_VALUES, "s", (("order_month", "month"), ("customer_state", "state"), None)), _mom("p", "s"), _no_mom("customer_state", "state", "s"), _no_mom("", "", "s")]))
+S["context_order_medians"] = q(BASE, by_axes({"AOV (Median)": "median(CAST(rev AS DOUBLE))"}, "o", (("order_month", "month"), ("customer_state", "state"), ("payment_type", "kind"))))
+S["context_items"] = q(F2, by_axes({"Item Revenue": "sum(rev)", "Items Sold": "count(*)", "Products Sold": "count(DISTINCT pid)", "Avg Item Price": "CAST(sum(rev) AS DOUBLE) / count(*)"},
+                                    "f2", (("category", "category"), ("seller_state", "seller_state"), ("customer_state", "state"))))
+_PEOPLE_VALUES = {
+    "Segment Customers": "count(*)", "Segment Revenue": "sum(monetary_revenue)", "Repeat Customers": "count(*) FILTER (is_repeat_customer)",
+    "Repeat Rate %": "count(*) FILTER (is_repeat_customer) / CAST(count(*) AS DOUBLE)", "Avg Customer Value": "CAST(sum(monetary_revenue) AS DOUBLE) / count(*)",
+    "Segment Revenue %": "CAST(sum(monetary_revenue) AS DOUBLE) / (SELECT CAST(sum(monetary_revenue) AS DOUBLE) FROM c)"}
+_PEOPLE_AXES = (("rfm_segment", "rfm_segment"), ("risk_tier", "risk_tier"))
+S["context_customers"] = q(f"c AS ({FACTS['export_dim_customers']})", by_axes(
+    _PEOPLE_VALUES, "c", (*_PEOPLE_AXES, ("customer_state", "customer_state"), ("rfm_segment | risk_tier", "concat_ws(' | ', rfm_segment, risk_tier)"))))
+S["context_customers_sliced"] = q(f"c AS ({FACTS['export_dim_customers']})", "s AS (SELECT * FROM c WHERE risk_tier LIKE '3%')", by_axes(_PEOPLE_VALUES, "s", (*_PEOPLE_AXES, None)))
+S["context_retention"] = q(f"r AS ({FACTS['retention_matrix']})", by_axes(
+    {"Avg Retention %": "avg(retention_pct) / 100", "Retention % After Month 0": "avg(retention_pct) FILTER (age > 0) / 100"}, "r",
+    (("months_since_first_purchase", "age"), ("cohort_month", "cohort_month"), None), 12))
+S["context_cohorts"] = q(f"s AS ({FACTS['cohort_summary']})", by_axes({"3-Month Repeat Rate %": "avg(repeat_rate_3mo_pct) / 100"}, "s", (("cohort_month", "cohort_month"), None)))
+S["context_categories"] = q(f"x AS ({S['export_dim_category']})", by_axes(
+    {"Category Momentum": "sum(momentum_change_brl)", "Category Units": "sum(units)", "Category Avg Price": "avg(avg_item_price)"}, "x", (("category", "category"), None)))

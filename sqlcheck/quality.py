@@ -2,6 +2,7 @@
 
 from sqlcheck.base import FACT, ORD, PAY, REV, q
 from sqlcheck.facts import BASE, COH
+from sqlcheck.items import by_axes
 
 S: dict[str, str] = {}
 
@@ -302,6 +303,11 @@ SELECT strftime(period, '%Y-%m') AS period_label, round(actual, 2) AS "Actual Re
 S["measure_next_month"] = recursive(_ALL, smoothing("al", 199), _HIST.format(src="al"), """
 SELECT round(forecast, 2) AS "Next Month Forecast", round(lo, 2) AS "Next Month Lower 95", round(hi, 2) AS "Next Month Upper 95"
 FROM hf WHERE type = 'forecast' ORDER BY period LIMIT 1""")
+_FORECAST_VALUES = {"Actual Revenue": "sum(actual)", "Forecast Revenue": "sum(forecast)", "Forecast Lower 95": "sum(lower_95)", "Forecast Upper 95": "sum(upper_95)"}
+_NEXT = {f"Next Month {n}": f"arg_min({c}, period) FILTER (type = 'forecast')" for n, c in (("Forecast", "forecast"), ("Lower 95", "lower_95"), ("Upper 95", "upper_95"))}
+S["context_forecast"] = recursive(_ALL, smoothing("al", 199), _HIST.format(src="al"), "h AS (SELECT " + _HOUT + ")", " UNION ALL ".join([
+    by_axes(_FORECAST_VALUES | _NEXT, "h", (("period_label", "period_label"), None)), by_axes(_FORECAST_VALUES, "h", (("type", "type"),)),
+    by_axes({n: f"(SELECT {v} FROM h)" for n, v in _NEXT.items()}, "h", (("type", "type"),))]))
 
 S["fct_order_items"] = q(ORD, f"""
 SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id, {_PRICE} AS revenue, {_FRT} AS freight,
