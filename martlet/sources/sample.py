@@ -111,20 +111,6 @@ def translation(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("product_category_name_english")))
 
 
-def translated_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products as the cleaning job leaves them, in the columns the analysis reads."""
-    named = (F.col("p_partkey") % 53 != 0) & (F.col("p_brand") != "Brand#13")
-    english = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_partkey") % 53 != 0, F.col("p_brand")).otherwise("unknown")
-        .alias("product_category_name"),
-        F.when(named, english).otherwise("unknown").alias("product_category_name_english"),
-        (F.col("p_partkey") % 6).cast("double").alias("product_photos_qty"),
-        F.when(F.col("p_partkey") % 97 != 0, F.col("p_size") * 100).cast("double").alias("product_weight_g"),
-        (F.col("p_size") * (F.col("p_partkey") % 40 + 8)).cast("double").alias("product_volume_cm3"))
-
-
 def raw_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
@@ -198,7 +184,7 @@ def sample_market(spark: SparkSession, sf_dir: str) -> Market:
         "orders": lambda: cleaning.clean_orders(raw_orders(spark, sf_dir), defs),
         "items": lambda: cleaning.clean_items(raw_items(spark, sf_dir), defs),
         "customers": lambda: cleaning.clean_customers(raw_customers(spark, sf_dir)),
-        "products": lambda: translated_products(spark, sf_dir),
+        "products": lambda: cleaning.clean_products(raw_products(spark, sf_dir), translation(spark, sf_dir), defs),
         "sellers": lambda: cleaning.clean_sellers(raw_sellers(spark, sf_dir)),
         "payments": lambda: cleaning.clean_payments(raw_payments(spark, sf_dir), defs),
         "reviews": lambda: cleaning.clean_reviews(raw_reviews(spark, sf_dir)),

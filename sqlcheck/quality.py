@@ -2,6 +2,8 @@
 
 from sqlcheck.base import FACT, ORD, PAY, REV, q
 from sqlcheck.facts import BASE, COH
+from sqlcheck.facts import S as FACTS
+from sqlcheck.items import S as ITEMS
 from sqlcheck.items import by_axes
 
 S: dict[str, str] = {}
@@ -365,15 +367,23 @@ _PROFILE += [
 S["quality_column_profile"] = q(ORD, PAY, REV, _GEO, "\nUNION ALL\n".join(
     f"""SELECT '{t}' AS "table", '{c}' AS "column", '{d}' AS dtype, count({x}) AS non_null, count(DISTINCT {x}) AS n_unique FROM {s}"""
     for t, s, cols in _PROFILE for c, x, d in cols))
-_PAIRS = [("fact_order_items[order_id] -> fact_orders[order_id]", "f2"), ("fact_order_items[category] -> dim_category_performance[category]", "f2"),
-          ("fact_orders[order_date] -> dim_date[date]", "o"), ("fact_orders[customer_state] -> dim_region_performance[customer_state]", "o"),
-          ("fact_orders[payment_type] -> dim_payment_performance[payment_type]", "o WHERE kind IS NOT NULL"),
-          ("fact_orders[customer_unique_id] -> dim_customers_segmented[customer_unique_id]", "o WHERE who IS NOT NULL"),
-          ("fact_order_items[product_id] -> dim_product_performance[product_id]", "f2 WHERE pid IS NOT NULL"),
-          ("fact_order_items[seller_id] -> dim_seller_performance[seller_id]", "f2 WHERE sid IS NOT NULL"),
-          ("fact_cohort_retention[cohort_month] -> dim_cohort_summary[cohort_month]", "cells")]
-S["star_relationship_check"] = q(COH, "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS foreign_key, CAST(0 AS BIGINT) AS orphans, count(*) AS rows_checked, CAST(0 AS DOUBLE) AS orphan_pct FROM {t}" for n, t in _PAIRS))
+_DIMENSIONS = {  # dimension: statement, key
+    "fact_orders": ("SELECT oid FROM o", "order_id"), "dim_date": (f"SELECT date FROM ({ITEMS['export_dim_date']})", "date"),
+    "dim_customers_segmented": (f"SELECT customer_unique_id FROM ({FACTS['export_dim_customers']})", "customer_unique_id"),
+    "dim_region_performance": (f"SELECT customer_state FROM ({ITEMS['page_marketing_states']})", "customer_state"),
+    "dim_payment_performance": (f"SELECT payment_type FROM ({FACTS['payment_mix']})", "payment_type"),
+    "dim_product_performance": (f"SELECT product_id FROM ({ITEMS['export_dim_product']})", "product_id"),
+    "dim_category_performance": (f"SELECT category FROM ({ITEMS['export_dim_category']})", "category"),
+    "dim_seller_performance": (f"SELECT seller_id FROM ({ITEMS['export_dim_seller']})", "seller_id"),
+    "dim_cohort_summary": (f"SELECT cohort_month FROM ({FACTS['cohort_summary']})", "cohort_month")}
+_REFERENCES = [("fact_order_items[order_id]", "f2", "oid", "fact_orders"), ("fact_order_items[category]", "f2", "category", "dim_category_performance"),
+               ("fact_orders[order_date]", "o", "day", "dim_date"), ("fact_orders[customer_state]", "o", "state", "dim_region_performance"),
+               ("fact_orders[payment_type]", "o", "kind", "dim_payment_performance"), ("fact_orders[customer_unique_id]", "o", "who", "dim_customers_segmented"),
+               ("fact_order_items[product_id]", "f2", "pid", "dim_product_performance"), ("fact_order_items[seller_id]", "f2", "sid", "dim_seller_performance"),
+               ("fact_cohort_retention[cohort_month]", "cells", "cohort_month", "dim_cohort_summary")]
+S["star_relationship_check"] = q(COH, "\nUNION ALL\n".join(f"""
+SELECT '{name} -> {dim}[{_DIMENSIONS[dim][1]}]' AS foreign_key, count(*) FILTER (lost) AS orphans, count(*) AS rows_checked, round(100.0 * count(*) FILTER (lost) / count(*), 3) AS orphan_pct
+FROM (SELECT {key} NOT IN ({_DIMENSIONS[dim][0]}) AS lost FROM {fact} WHERE {key} IS NOT NULL)""" for name, fact, key, dim in _REFERENCES))
 _SURPLUS = "(SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {} GROUP BY {}))"
 _FIGURES = [  # check, figure, figure that it has to equal
     ("No row inflation in item fact table", "(SELECT count(*) FROM lf)", "(SELECT count(*) FROM lineitem)"),
