@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 from martlet.llm import files
 from martlet.llm.shared import new_path, table
 
-#: Bytes of ids in a part, about; words whose ids a Python worker remembers; texts encoded at a time.
-PART_BYTES, REMEMBERED, AT_ONCE = 32 << 20, 300_000, 256
+#: Bytes of ids in a part, about; parts of words whose ids a Python worker remembers; texts and their bytes encoded at a time.
+PART_BYTES, REMEMBERED, AT_ONCE, BYTES_AT_ONCE = 32 << 20, 900_000, 512, 16 << 20
 #: Signs that the pattern never joins to a letter or digit before them (the apostrophe may be).
 SIGNS = b".,;:!?*$#%&|<>()"
 #: A character that stands between words when many are encoded at once.
@@ -35,33 +36,43 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NO_ID = -(2**63)
 
 
-def divided(word: bytes) -> tuple[bytes, ...]:
-    """A word as a core in lower case and the signs after it, where the tokenizer's pattern cuts between a letter or digit and signs.
+def ends_in_letter(core: bytes) -> bool:
+    """Whether the tokenizer's pattern, after its normaliser, cuts between this text and signs after it."""
+    last = unicodedata.normalize("NFC", core[-4:].decode("utf-8", "ignore")[-1:].lower())[-1:]
+    return last.isalpha() or last != "" and last in "0123456789"
 
-    Words that may hold a special token stay as they are.
+
+def divided(words: pa.Array) -> pa.Array:
+    """Two parts for each word: a core in lower case and the signs after it, where the tokenizer's pattern cuts there.
+
+    Otherwise the first part is the word and the second empty. Words that may hold a special token keep their case.
     """
-    if b"<|" in word:
-        return (word,)
-    low = word.lower()
-    core = low.rstrip(SIGNS)
-    if core and len(core) < len(low):
-        last = unicodedata.normalize("NFC", core[-4:].decode("utf-8", "ignore")[-1:].lower())[-1:]
-        if last.isalpha() or last and last in "0123456789":
-            return core, low[len(core):]
-    return (low,)
+    special = pc.match_substring(words, "<|")
+    low = pc.if_else(special, words, pc.ascii_lower(words)) if pc.any(special).as_py() else pc.ascii_lower(words)
+    cores = pc.ascii_rtrim(low, characters=SIGNS.decode())
+    bounds = np.frombuffer(low.buffers()[1], dtype=np.int32)[low.offset:low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2] or b"\0", dtype=np.uint8)
+    full, length = np.diff(bounds), pc.binary_length(cores).to_numpy(zero_copy_only=False)
+    may = (length > 0) & (length < full) & ~special.to_numpy(zero_copy_only=False)
+    last = data[np.where(may, bounds[:-1] + length - 1, 0)]
+    cut = may & ((last - ord("a") < 26) | (last - ord("0") < 10))  # unsigned, so lower bytes wrap
+    for i in np.flatnonzero(may & (last >= 128)).tolist():
+        cut[i] = ends_in_letter(data[bounds[i]:bounds[i] + length[i]][-4:].tobytes())
+    ends = np.empty(2 * len(low) + 1, dtype=np.int32)
+    ends[0::2], ends[1::2] = bounds, bounds[:-1] + np.where(cut, length, full)
+    return pa.Array.from_buffers(pa.binary(), 2 * len(low), [None, pa.py_buffer(ends), low.buffers()[2]])
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers case and whose tokens never reach over ASCII white space.
 
-    Words are remembered, and so are their parts; only parts that are new to a worker are encoded. Other tokenizers
-    encode whole texts.
+    The parts of words are remembered; only those that are new to a worker are encoded. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, typecode: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.typecode, self.known, self.parts = Tokenizer.from_file(path), typecode, {}, {}
+        self.tokenizer, self.typecode, self.parts = Tokenizer.from_file(path), typecode, {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -85,25 +96,41 @@ class WordEncoder:
             for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
                 self.parts[w] = data[a:b]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, in the machine's (little-endian) order."""
-        if not self.by_word:
-            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return [array(self.typecode, e.ids).tobytes() for e in found]
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        pieces = {w: divided(w) for w in new}
-        unknown = {p for x in pieces.values() for p in x if p not in self.parts}
-        if len(self.parts) + len(unknown) > 3 * REMEMBERED:
+    def _ids_of(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of different parts; only those that this worker does not remember are encoded."""
+        found = list(map(self.parts.get, parts))
+        new = [p for p, ids in zip(parts, found) if ids is None]
+        if not new:
+            return found
+        if len(self.parts) + len(new) > REMEMBERED:
             self.parts.clear()
-            unknown = {p for x in pieces.values() for p in x}
-        self._learn_each([w for w in unknown if self.divider is None or DIVIDER in w])
-        self._learn([w for w in unknown if self.divider is not None and DIVIDER not in w])
-        self.known.update((w, b"".join([self.parts[p] for p in x])) for w, x in pieces.items())
-        return [b"".join([self.known[w] for w in words]) for words in split]
+        self._learn_each([p for p in new if self.divider is None or DIVIDER in p])
+        self._learn([p for p in new if self.divider is not None and DIVIDER not in p])
+        learnt = map(self.parts.__getitem__, new)
+        return [next(learnt) if ids is None else ids for ids in found]
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text and `end`, in the machine's (little-endian) order.
+
+        Texts are split, words divided and told apart, and parts replaced by their ids as arrays; Python handles each
+        different part of a batch once.
+        """
+        texts = texts.fill_null("")
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return pa.array([array(self.typecode, e.ids).tobytes() + end for e in found], pa.binary())
+        split = pc.ascii_split_whitespace(texts)
+        stops = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        parts = divided(words.dictionary).dictionary_encode()
+        ids = self._ids_of(parts.dictionary.to_pylist())
+        pairs = parts.indices.to_numpy(zero_copy_only=False).reshape(-1, 2)
+        # The end is a part of its own after each text.
+        order = np.insert(pairs[words.indices.to_numpy(zero_copy_only=False)].ravel(), 2 * stops, len(ids))
+        placed = pa.array([*ids, end], pa.binary()).take(pa.array(order))
+        bounds = np.frombuffer(placed.buffers()[1], dtype=np.int32)[:len(placed) + 1]
+        starts = np.concatenate([bounds[:1], bounds[2 * stops + np.arange(1, len(stops) + 1)]])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(starts), placed.buffers()[2]])
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
@@ -118,13 +145,19 @@ def encoded(docs: DataFrame, tokenizer: str, typecode: str, end_id: int | None)
     """doc_id, ids (binary) from doc_id, text."""
     end = array(typecode, [] if end_id is None else [end_id]).tobytes()
 
+    def bounded(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        half = part.num_rows // 2
+        if half and (part.num_rows > AT_ONCE or part.nbytes > BYTES_AT_ONCE):
+            yield from bounded(part.slice(0, half))
+            yield from bounded(part.slice(half))
+        else:
+            yield part
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, typecode)
         for batch in batches:
-            for i in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(i, AT_ONCE)
-                ids = [x + end for x in own.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for part in bounded(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), own.encode(part.column(1), end)], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 

@@ -103,3 +103,25 @@ def test_unigram_model_with_byte_fallback(tmp_path):
     for text, (ids, differing) in zip(texts, own.encode(texts)):
         got = list(struct.unpack(f"<{len(ids) // 4}i", ids))
         assert got == peer.encode(text) and differing == 0
+
+
+def test_words_are_divided_like_whole_texts():
+    """Parts of words, put together again, are the ids of the whole text by the library; slices and cleared memories too."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from martlet.llm import token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", None, " ", "a\x0bb\x0cc  d ", "\n\n", "ü,", "é.,", "É,", "é, x", "it's, 3.14!! 5;", "A b C.", "\x01 a\x01b", "ﬁ.", "²,", "٣.", "word" * 2000,
+             "a," * 3000, "“q”,", "_,", "-.", "1,2", "|", "||| |a|", "Z9.", "don't!", "x​,", "中文, 字。", "\U0001f600!", "ß;"]
+    library = Tokenizer.from_file(path)
+    want = [e.ids + [1] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    own = token_files.WordEncoder(path, "H")
+    column, end = pa.array(texts, pa.string()), (1).to_bytes(2, "little")
+    for part, at in ((column, 0), (column.slice(5, 9), 5), (column.slice(3), 3)):
+        found = [list(memoryview(x).cast("H")) for x in own.encode(part, end).to_pylist()]
+        assert found == want[at:at + len(part)]
+        own.parts.clear()
+    assert own.encode(column.slice(0, 0), end).to_pylist() == []
