@@ -80,6 +80,11 @@ class Definitions:
     def last_month(self) -> str:
         return f"{self.window_end:%Y-%m}"
 
+    @property
+    def last_age(self) -> int:
+        """Months from the window's first month to its last: the highest age that a cohort can have."""
+        return self.last_month_index - (self.window_start.year * 12 + self.window_start.month)
+
     @property
     def last_month_index(self) -> int:
         return self.window_end.year * 12 + self.window_end.month

@@ -124,7 +124,7 @@ ORDER_REPORTS: dict[str, Callable[[DataFrame, Market], DataFrame]] = {
     "first_experience_by_lateness": lambda o, m: customers.first_experience_by_lateness(o),
     "first_experience_by_score": lambda o, m: customers.first_experience_by_score(o),
     "retention_matrix": lambda o, m: cohorts.retention_matrix(o),
-    "retention_pivot": lambda o, m: cohorts.retention_pivot(o, 66),
+    "retention_pivot": lambda o, m: cohorts.retention_pivot(o, m.defs.last_age),
     "retention_curve": lambda o, m: cohorts.retention_curve(o),
     "retention_curve_zero_filled": lambda o, m: cohorts.retention_curve(o, True, m.defs.last_month_index),
     "cohort_summary": lambda o, m: cohorts.cohort_summary(o, m.defs.last_month_index),
